@@ -80,9 +80,11 @@ def delay_band_order(days) -> Column:
     """Position of the band a delay falls into, from 1; NULL for an unknown delay."""
     days = _col(days)
     bounds = [last for _, last in DELAY_BANDS if last is not None]
-    passed = sum(((days > last).cast("int") for last in bounds), F.lit(1))
-    return passed
+    return sum(((days > last).cast("int") for last in bounds), F.lit(1))
 
 
 def delay_band_label(order) -> Column:
-    return F.element_at(F.array(*[F.lit(label) for label, _ in DELAY_BANDS]), _col(order))
+    label = F.lit(None).cast("string")
+    for position, (name, _) in enumerate(DELAY_BANDS, 1):
+        label = F.when(_col(order) == position, F.lit(name)).otherwise(label)
+    return label

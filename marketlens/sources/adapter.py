@@ -123,3 +123,83 @@ def _category_translation(part):
             F.concat(F.lower("product_category_name"), F.lit("_goods")),
         )
     )
+
+
+# Questions as a person might type them, one per order; the names in braces are filled in from
+# the order date.
+QUESTION_TEMPLATES = (
+    "Show me the main business KPIs.",
+    "How has monthly revenue changed?",
+    "Which product categories make the most revenue?",
+    "Which states generate the most revenue?",
+    "Which state has the worst delivery performance?",
+    "How do late deliveries affect review scores?",
+    "Why did monthly revenue decline?",
+    "What will revenue be next year?",
+    "Why did revenue drop in {ym}?",
+    "What caused the sales change in {name} {year}?",
+    "  WHAT   drove income in {name}? ",
+    "   ",
+    "What about states?",
+    "and the categories",
+    "How about {name} {year}?",
+    "What drove that?",
+    "aov",
+    "What about the order volume in {ym}?",
+    "delivery performance",
+    "How about reviews",
+    "why did that happen",
+    "in that case, compare them",
+    "Give me an overview of the business",
+    "Did shipping delay hurt ratings?",
+    "Maybe the region explains sales growth",
+    "Who is the best seller?",
+    "What about it?",
+    "Reason for the decline of revenue in May",
+    "reviews",
+)
+
+
+def _fill(template, date):
+    # Year and month by way of numbers; the English name comes from the fixed locale of Spark.
+    text = template
+    for name, pattern in (("ym", "yyyy-MM"), ("year", "yyyy"), ("name", "MMMM")):
+        text = F.replace(text, F.lit("{" + name + "}"), F.date_format(date, pattern))
+    return text
+
+
+def questions_from_star_schema(spark, folder):
+    """Questions (question_id, conv_id, turn, question): an order is a turn of its customer."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    key = F.col("o_orderkey")
+    # Bits of the key are mixed, so that neighbouring orders of a customer differ.
+    number = ((key * 31 + F.col("o_custkey") * 17) % len(QUESTION_TEMPLATES)).cast("int")
+    template = F.get(F.array(*[F.lit(t) for t in QUESTION_TEMPLATES]), number)
+    return orders.select(
+        key.alias("question_id"),
+        F.col("o_custkey").alias("conv_id"),
+        key.alias("turn"),
+        _fill(template, F.col("o_orderdate")).alias("question"),
+    )
+
+
+EXPLANATION_TEMPLATE = (
+    "Direct answer: order {key} brought ${price} [metric:item_revenue] , see `【row:1】`.\n"
+    "\n\n\n## Key evidence\n[row:{row}] \t and [metric:leading_state] !\n"
+    "  **business interpretation** :  it cost \\$5 [METHOD:grain]\n"
+    "Limitations\n[warning:1] [warning:{warning}] [metric: no_such_key] [rows:1-4]"
+)
+
+
+def explanation_from_order():
+    """An explanation text with references, for a row of `orders`."""
+    key = F.col("o_orderkey")
+    text = F.lit(EXPLANATION_TEMPLATE)
+    for name, value in (
+        ("key", key.cast("string")),
+        ("price", F.col("o_totalprice").cast("decimal(18,2)").cast("string")),
+        ("row", (key % 13).cast("string")),
+        ("warning", (key % 5).cast("string")),
+    ):
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    return text
