@@ -23,16 +23,16 @@ from marketlens.sources import adapter, staging, tables
 
 FLAGSHIP_FOLDER = "/root/testdata/sf0.001"
 
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, str, str], object] = {}
 
 
-def _once(spark, folder, kind, write) -> str:
-    """Path of something written once per session and data folder."""
+def _once(spark, folder, kind, write, read=lambda path: path):
+    """What is written once per session and data folder, as `read` returns it."""
     key = (spark.sparkContext.applicationId, folder, kind)
     if key not in _stored:
         path = new_table_path(spark, kind)
         write(path)
-        _stored[key] = path
+        _stored[key] = read(path)
     return _stored[key]
 
 
@@ -42,10 +42,13 @@ def _build(spark, folder):
 
 def order_items(spark, folder):
     """The stored order-item table of a data folder."""
-    path = _once(
-        spark, folder, "order_items", lambda p: tables.write_order_items(_build(spark, folder), p)
+    return _once(
+        spark,
+        folder,
+        "order_items",
+        lambda path: tables.write_order_items(_build(spark, folder), path),
+        lambda path: tables.read_order_items(spark, path),
     )
-    return tables.read_order_items(spark, path)
 
 
 def _csv_folder(spark, folder):
@@ -58,13 +61,13 @@ def _csv_folder(spark, folder):
 
 def _built_from_files(spark, folder):
     source = _csv_folder(spark, folder)
-    path = _once(
+    return _once(
         spark,
         folder,
         "order_items_from_files",
-        lambda p: tables.build_from_files(spark, source, p),
+        lambda path: tables.build_from_files(spark, source, path),
+        lambda path: tables.read_order_items(spark, path),
     )
-    return tables.read_order_items(spark, path)
 
 
 def _staged(name):
@@ -220,9 +223,7 @@ def _investigations(spark, folder):
     asked = route_questions(_questions(spark, folder)).filter(
         F.col("analysis_type") == "revenue_change_investigation"
     )
-    return investigate.investigate(
-        order_items(spark, folder), asked.select("question_id", "question")
-    ).select(
+    return investigate.investigate(order_items(spark, folder), asked).select(
         "question_id",
         "target_month",
         "previous_month_start",
@@ -241,7 +242,7 @@ def _evidence_metrics(handler):
     """The metrics of one analysis as rows (month, metric, value)."""
 
     def query(spark, folder):
-        packed = handler(order_items(spark, folder))
+        packed = handler(evidence.prepare(order_items(spark, folder)))
         return packed.select(
             F.date_format("target_month", "yyyy-MM").alias("month"),
             F.explode("metrics").alias("metric", "value"),
@@ -256,7 +257,7 @@ def _evidence_rows(spark, folder):
     def field(*names):
         return F.coalesce(*[F.get_json_object("record", f"$.{name}") for name in names])
 
-    rows = evidence.all_evidence(order_items(spark, folder)).select(
+    rows = evidence.all_evidence(evidence.prepare(order_items(spark, folder))).select(
         "analysis_type",
         F.date_format("target_month", "yyyy-MM").alias("month"),
         F.posexplode("supporting_rows").alias("position", "record"),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from marketlens.functions.columns import ratio, round2
 from marketlens.operators.median import exact_median
+from marketlens.session import stored
 
 NUMERIC, TEMPORAL, CATEGORICAL = "numeric", "temporal", "categorical"
 
@@ -177,7 +178,10 @@ def sample_values(df, k=5, counts=None):
 
 def profile_table(df):
     """One row per column with all of the above; statistics that do not apply are NULL."""
-    counts = value_counts(df)
+    # One folder per column, so each statistic reads the columns it is about.
+    counts = stored(value_counts(df), "value_counts", "column_name").select(
+        "column_name", "value", "n"
+    )
 
     def collected(rows, entry, name):
         ordered = F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry"))))

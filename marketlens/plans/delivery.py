@@ -92,9 +92,13 @@ def worst_delivery_sellers(df, minimum_order_count=50, limit=10):
 
 def late_and_on_time_orders(df):
     """One row for late and one for on-time orders; undelivered orders are left out."""
-    orders = reduce_to(
-        df, ["order_id"], ["delivery_days", "is_late_delivery", "average_review_score"]
+    return late_groups_of_orders(
+        reduce_to(df, ["order_id"], ["delivery_days", "is_late_delivery", "average_review_score"])
     )
+
+
+def late_groups_of_orders(orders):
+    """The late and on-time groups of a table with one row per order."""
     late = F.col("is_late_delivery")
     status = F.when(late, F.lit("late")).otherwise(F.lit("on_time"))
     return (

@@ -15,7 +15,7 @@ from marketlens.functions.columns import (
     round2,
 )
 from marketlens.functions.guards import require_columns, require_positive
-from marketlens.functions.text import strip
+from marketlens.functions.text import normalize
 from marketlens.plans.metrics import monthly_revenue, previous_month
 
 # Fixed values
@@ -197,27 +197,39 @@ YEAR_MONTH = r"\b(20\d{2})-(0[1-9]|1[0-2])\b"
 YEAR = r"\b(20\d{2})\b"
 
 
-def month_key(question):
-    """The key of the month a question column names."""
-    text = F.lower(strip(question))
-    year_month = F.regexp_extract(text, f"(?U){YEAR_MONTH}", 0)
-    year = F.regexp_extract(text, f"(?U){YEAR}", 1)
+def with_month_key(questions, wanted=None):
+    """Add the `month_key` of the normalized questions, or of the `wanted` ones among them."""
+    text = F.col("normalized_question")
+    wanted = F.lit(True) if wanted is None else wanted
+    # Most texts fail the plain search that comes before each pattern.
     named = F.coalesce(
         *[
-            F.when(text.rlike(rf"(?U)\b{name}\b"), F.lit(number))
+            F.when(text.contains(name) & text.rlike(rf"(?U)\b{name}\b"), F.lit(number))
             for number, name in enumerate(MONTHS, 1)
         ]
     )
+
+    def found(pattern, group):
+        return F.when(text.contains("20"), F.regexp_extract(text, f"(?U){pattern}", group))
+
+    year, number = F.col("_year"), F.col("_number")
     return (
-        F.when(year_month != "", F.concat(F.lit("ym:"), year_month))
-        .when(named.isNotNull() & (year != ""), F.concat(F.lit("my:"), named, F.lit("-"), year))
-        .when(named.isNotNull(), F.concat(F.lit("m:"), named))
-        .otherwise(F.lit(LARGEST_DECLINE))
+        questions.withColumn("_year_month", F.when(wanted, found(YEAR_MONTH, 0)))
+        .withColumn("_year", F.when(wanted, found(YEAR, 1)))
+        .withColumn("_number", F.when(wanted, named))
+        .withColumn(
+            "month_key",
+            F.when(F.col("_year_month") != "", F.concat(F.lit("ym:"), "_year_month"))
+            .when(number.isNotNull() & (year != ""), F.concat(F.lit("my:"), number, F.lit("-"), year))
+            .when(number.isNotNull(), F.concat(F.lit("m:"), number))
+            .when(wanted, F.lit(LARGEST_DECLINE)),
+        )
+        .drop("_year_month", "_year", "_number")
     )
 
 
 def month_key_text(question: str) -> str:
-    """`month_key` for one text, for use inside a task."""
+    """The month key of one text, for use inside a task."""
     text = question.strip().lower()
     found = re.search(YEAR_MONTH, text)
     if found:
@@ -266,17 +278,21 @@ NOT_ENOUGH_MONTHS = "At least two complete months are required."
 NOT_AVAILABLE = "The requested month is not available as a complete comparison month."
 
 
-def resolve_target_months(questions, components, question="question"):
+def resolve_target_months(questions, components, wanted=None):
     """Add month_key, target_month and month_error to a table of questions.
 
-    The keys are at most fifteen or so per year of data, so they are broadcast.
+    With `wanted`, a condition on the questions, the others get NULLs. There are at most
+    fourteen keys per twelve months of data and one more, so they are broadcast.
     """
-    keyed = questions.withColumn("month_key", month_key(F.col(question)))
+    if "normalized_question" not in questions.columns:
+        questions = questions.withColumn("normalized_question", normalize(F.col("question")))
+    keyed = with_month_key(questions, wanted)
     resolved = keyed.join(F.broadcast(month_keys(components)), "month_key", "left")
     missing = F.when(F.col("month_key") == LARGEST_DECLINE, F.lit(NOT_ENOUGH_MONTHS)).otherwise(
         F.lit(NOT_AVAILABLE)
     )
-    return resolved.withColumn("month_error", F.when(F.col("target_month").isNull(), missing))
+    unresolved = F.col("month_key").isNotNull() & F.col("target_month").isNull()
+    return resolved.withColumn("month_error", F.when(unresolved, missing))
 
 
 def drivers(df, months, driver_limit=5):

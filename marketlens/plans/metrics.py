@@ -59,13 +59,19 @@ def average_review_score(df):
 
 def business_kpis(df):
     """The six headline metrics from one scan and one reduction to orders."""
-    orders = reduce_to(
-        df,
-        ["order_id"],
-        ["is_late_delivery", "average_review_score"],
-        revenue=money_sum("item_price"),
-        freight=money_sum("freight_value"),
+    return kpis_of_orders(
+        reduce_to(
+            df,
+            ["order_id"],
+            ["is_late_delivery", "average_review_score"],
+            revenue=money_sum("item_price"),
+            freight=money_sum("freight_value"),
+        )
     )
+
+
+def kpis_of_orders(orders):
+    """The headline metrics of a table with one row per order."""
     return orders.agg(
         _or_zero(money(F.sum("revenue"))).alias("item_revenue"),
         _or_zero(money(F.sum("freight"))).alias("freight_value"),

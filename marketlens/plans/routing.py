@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
-from marketlens.functions.text import contains_any, normalize
+from marketlens.functions.text import bound, contains_any, normalize
 
 CORE_KPIS = "core_kpis"
 MONTHLY_TREND = "monthly_revenue_trend"
@@ -136,7 +136,7 @@ def route_questions(questions, question="question"):
         questions.withColumn(
             "normalized_question", normalize(F.coalesce(F.col(question), F.lit("")))
         )
-        .withColumn("_route", route_index(F.col("normalized_question")))
+        .withColumn("_route", bound(F.col("normalized_question"), route_index))
         .withColumn(
             "analysis_type", _pick(index, [r.analysis_type for r in ROUTES], F.lit(UNSUPPORTED))
         )

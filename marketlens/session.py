@@ -18,3 +18,17 @@ def shared_folder(spark) -> str:
 
 def new_table_path(spark, name) -> str:
     return f"{shared_folder(spark)}/marketlens/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df, name, partition_by=None):
+    """The rows of `df` as a table in the shared folder, computed once, now.
+
+    For what several later steps read: a column filter or a partition filter of theirs would
+    otherwise reach below the shuffle and make each of them compute it all again.
+    """
+    path = new_table_path(df.sparkSession, name)
+    if partition_by:
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.hint("rebalance").write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
