@@ -238,11 +238,21 @@ def _investigations(spark, folder):
     )
 
 
+def _inputs(spark, folder):
+    return _once(
+        spark,
+        folder,
+        "evidence_inputs",
+        lambda path: None,
+        lambda path: evidence.prepare(order_items(spark, folder)),
+    )
+
+
 def _evidence_metrics(handler):
     """The metrics of one analysis as rows (month, metric, value)."""
 
     def query(spark, folder):
-        packed = handler(evidence.prepare(order_items(spark, folder)))
+        packed = handler(_inputs(spark, folder))
         return packed.select(
             F.date_format("target_month", "yyyy-MM").alias("month"),
             F.explode("metrics").alias("metric", "value"),
@@ -257,7 +267,7 @@ def _evidence_rows(spark, folder):
     def field(*names):
         return F.coalesce(*[F.get_json_object("record", f"$.{name}") for name in names])
 
-    rows = evidence.all_evidence(evidence.prepare(order_items(spark, folder))).select(
+    rows = evidence.all_evidence(_inputs(spark, folder)).select(
         "analysis_type",
         F.date_format("target_month", "yyyy-MM").alias("month"),
         F.posexplode("supporting_rows").alias("position", "record"),
@@ -276,7 +286,7 @@ def _evidence_rows(spark, folder):
 
 
 def _answers(spark, folder):
-    return evidence.answer_questions(order_items(spark, folder), _questions(spark, folder))
+    return evidence.answer_from(_inputs(spark, folder), _questions(spark, folder))
 
 
 def _answer_rows(spark, folder):
@@ -335,10 +345,8 @@ def _conversation_needs_context(spark, folder):
 
 
 def _resolved(spark, folder):
-    components = investigate.monthly_revenue_components(order_items(spark, folder))
-    return followups.resolve_conversations(
-        _questions(spark, folder), followups.answerable_months(components)
-    )
+    months = followups.answerable_months(_inputs(spark, folder).components)
+    return followups.resolve_conversations(_questions(spark, folder), months)
 
 
 def _two_months(spark, folder, function):
@@ -365,11 +373,7 @@ def _delay_bands(df):
 
 def _all_changes(df):
     months = investigate.comparable_months(investigate.monthly_revenue_components(df))
-    changes = [
-        investigate.revenue_changes(df, dimension, months).withColumn("dimension", F.lit(dimension))
-        for dimension in investigate.DIMENSIONS
-    ]
-    return changes[0].unionByName(changes[1])
+    return investigate.revenue_changes(df, months)
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -17,6 +17,7 @@ from marketlens.functions.columns import (
 from marketlens.functions.guards import require_columns, require_positive
 from marketlens.functions.text import normalize
 from marketlens.plans.metrics import monthly_revenue, previous_month
+from marketlens.session import stored
 
 # Fixed values
 MONTHS = (
@@ -87,16 +88,17 @@ def _require_dimension(dimension):
         raise ValueError(f"Unsupported revenue-change dimension: {dimension}")
 
 
-def revenue_changes(df, dimension, months):
-    """Revenue change per dimension value for every month pair of `months`, in one pass.
+def revenue_changes(df, months, dimensions=DIMENSIONS):
+    """Revenue change per dimension and value for every month pair of `months`, in one scan.
 
-    Each month of revenue counts as "current" for its own target month and as "previous" for the
-    next one. A value without sales in one of the two months counts as zero there. The result
-    has a `change_rank` per target month: largest loss first if the total fell, else largest
-    gain first.
+    Each item counts once per dimension. Each month of revenue counts as "current" for its own
+    target month and as "previous" for the next one. A value without sales in one of the two
+    months counts as zero there. The result has a `change_rank` per target month and dimension:
+    largest loss first if the total fell, else largest gain first.
     """
-    _require_dimension(dimension)
-    month, target = F.col("purchase_month_start"), F.col("target_month")
+    for dimension in dimensions:
+        _require_dimension(dimension)
+    month = F.col("purchase_month_start")
     roles = months.select(
         F.inline(
             F.array(
@@ -113,19 +115,25 @@ def revenue_changes(df, dimension, months):
             )
         )
     )
+    cells = [
+        F.struct(F.lit(d).alias("dimension"), F.col(d).alias("dimension_value"))
+        for d in dimensions
+    ]
     by_month = (
-        df.filter(F.col(dimension).isNotNull())
-        .groupBy("purchase_month_start", dimension)
+        df.select(month, "item_price", F.inline(F.array(*cells)))
+        .filter(F.col("dimension_value").isNotNull())
+        .groupBy(month, "dimension", "dimension_value")
         .agg(money_sum("item_price").alias("revenue"))
     )
     # roles has two rows per calendar month of data.
     paired = by_month.join(F.broadcast(roles), "purchase_month_start")
     current = F.col("is_current")
-    sides = paired.groupBy("target_month", F.col(dimension).alias("dimension_value")).agg(
+    sides = paired.groupBy("target_month", "dimension", "dimension_value").agg(
         _sum_or_zero(F.when(~current, F.col("revenue"))).alias("previous"),
         _sum_or_zero(F.when(current, F.col("revenue"))).alias("current"),
     )
-    return _changes(sides, Window.partitionBy(target), [target])
+    scope = ["target_month", "dimension"]
+    return _changes(sides, Window.partitionBy(*scope), scope)
 
 
 def _sum_or_zero(c):
@@ -295,19 +303,22 @@ def resolve_target_months(questions, components, wanted=None):
     return resolved.withColumn("month_error", F.when(unresolved, missing))
 
 
+# How the rows of each dimension are tagged.
+SCOPES = {"product_category": "category_change", "customer_state": "state_change"}
+
+
 def drivers(df, months, driver_limit=5):
     """The main drivers by category and by state of every month pair of `months`."""
     require_positive(driver_limit=driver_limit)
-
-    def scope(dimension, name):
-        return (
-            revenue_changes(df, dimension, months)
-            .filter(F.col("change_rank") <= driver_limit)
-            .withColumn("evidence_scope", F.lit(name))
-        )
-
-    return scope("product_category", "category_change").unionByName(
-        scope("customer_state", "state_change")
+    is_category = F.col("dimension") == "product_category"
+    scope = F.when(is_category, F.lit(SCOPES["product_category"])).otherwise(
+        F.lit(SCOPES["customer_state"])
+    )
+    return (
+        revenue_changes(df, months)
+        .filter(F.col("change_rank") <= driver_limit)
+        .withColumn("evidence_scope", scope)
+        .drop("dimension")
     )
 
 
@@ -318,7 +329,8 @@ def investigate(df, questions, minimum_order_count=100, driver_limit=5):
     drivers, keeps one row with `month_error` set or empty driver columns.
     """
     require_positive(minimum_order_count=minimum_order_count, driver_limit=driver_limit)
-    components = monthly_revenue_components(df, minimum_order_count)
+    # One row per month; stored, because three steps read it.
+    components = stored(monthly_revenue_components(df, minimum_order_count), "monthly_components")
     found = drivers(df, comparable_months(components), driver_limit)
     # Both are small and bounded by the calendar: one row, and 2 x driver_limit rows, per month.
     return (
