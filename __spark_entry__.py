@@ -238,7 +238,8 @@ def _investigations(spark, folder):
     )
 
 
-def _inputs(spark, folder):
+def evidence_inputs(spark, folder):
+    """What the analyses of a batch share, prepared once per data folder."""
     return _once(
         spark,
         folder,
@@ -252,7 +253,7 @@ def _evidence_metrics(handler):
     """The metrics of one analysis as rows (month, metric, value)."""
 
     def query(spark, folder):
-        packed = handler(_inputs(spark, folder))
+        packed = handler(evidence_inputs(spark, folder))
         return packed.select(
             F.date_format("target_month", "yyyy-MM").alias("month"),
             F.explode("metrics").alias("metric", "value"),
@@ -267,7 +268,7 @@ def _evidence_rows(spark, folder):
     def field(*names):
         return F.coalesce(*[F.get_json_object("record", f"$.{name}") for name in names])
 
-    rows = evidence.all_evidence(_inputs(spark, folder)).select(
+    rows = evidence.all_evidence(evidence_inputs(spark, folder)).select(
         "analysis_type",
         F.date_format("target_month", "yyyy-MM").alias("month"),
         F.posexplode("supporting_rows").alias("position", "record"),
@@ -286,7 +287,7 @@ def _evidence_rows(spark, folder):
 
 
 def _answers(spark, folder):
-    return evidence.answer_from(_inputs(spark, folder), _questions(spark, folder))
+    return evidence.answer_from(evidence_inputs(spark, folder), _questions(spark, folder))
 
 
 def _answer_rows(spark, folder):
@@ -345,7 +346,7 @@ def _conversation_needs_context(spark, folder):
 
 
 def _resolved(spark, folder):
-    months = followups.answerable_months(_inputs(spark, folder).components)
+    months = followups.answerable_months(evidence_inputs(spark, folder).components)
     return followups.resolve_conversations(_questions(spark, folder), months)
 
 
