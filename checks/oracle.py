@@ -120,6 +120,8 @@ def _on(select, *ctes, recursive=False):
     return start + ",\n".join([STAGING.strip(), *[c.strip() for c in ctes]]) + "\n" + select.strip()
 
 
+# A small negative value rounds to -0.0 in DuckDB and to 0.0 in Spark; "+ 0.0" makes both 0.0.
+
 # --- metrics --------------------------------------------------------------------------------
 
 RATE = "round(100.0 * avg(CASE is_late_delivery WHEN TRUE THEN 1 WHEN FALSE THEN 0 END), 2)"
@@ -144,7 +146,7 @@ months AS (
 
 GROWTH = """
 grown AS (
-  SELECT *, round(100.0 * (item_revenue - before) / nullif(before, 0), 2)
+  SELECT *, round(100.0 * (item_revenue - before) / nullif(before, 0), 2) + 0.0
       AS month_over_month_growth_percentage
   FROM (SELECT *, lag(item_revenue) OVER (ORDER BY purchase_month_start) AS before FROM months))"""
 
@@ -163,15 +165,15 @@ lagged AS (
     lag(purchase_month_start) OVER w AS previous_month_start
   FROM valued WINDOW w AS (ORDER BY purchase_month_start)),
 components AS (
-  SELECT *, round(item_revenue - previous_item_revenue, 2) AS revenue_change_amount,
-    round(100.0 * (item_revenue - previous_item_revenue) / nullif(previous_item_revenue, 0), 2)
+  SELECT *, round(item_revenue - previous_item_revenue, 2) + 0.0 AS revenue_change_amount,
+    round(100.0 * (item_revenue - previous_item_revenue) / nullif(previous_item_revenue, 0), 2) + 0.0
       AS revenue_change_percentage,
     order_count - previous_order_count AS order_count_change,
-    round(100.0 * (order_count - previous_order_count) / nullif(previous_order_count, 0), 2)
+    round(100.0 * (order_count - previous_order_count) / nullif(previous_order_count, 0), 2) + 0.0
       AS order_count_change_percentage,
-    round(average_order_value - previous_average_order_value, 2) AS average_order_value_change,
+    round(average_order_value - previous_average_order_value, 2) + 0.0 AS average_order_value_change,
     round(100.0 * (average_order_value - previous_average_order_value)
-      / nullif(previous_average_order_value, 0), 2) AS average_order_value_change_percentage
+      / nullif(previous_average_order_value, 0), 2) + 0.0 AS average_order_value_change_percentage
   FROM lagged)"""
 
 
@@ -198,7 +200,7 @@ SCORES = f"""{REVIEW_COUNTS},
   round(avg(delivery_days), 2) AS average_delivery_days,
   round(median(delivery_days), 2) AS median_delivery_days,
   {RATE} AS late_delivery_rate_percentage,
-  round(avg(delivery_delay_days), 2) AS average_delay_days,
+  round(avg(delivery_delay_days), 2) + 0.0 AS average_delay_days,
   round(avg(CASE WHEN is_late_delivery THEN delivery_delay_days END), 2)
     AS average_late_days_among_late_orders,
   round(avg(score), 2) AS average_review_score"""
@@ -247,8 +249,8 @@ def _change(dimension):
         f"""
 SELECT v AS {dimension}, CAST(p AS DOUBLE) AS previous_revenue, CAST(c AS DOUBLE)
     AS current_revenue, CAST(c - p AS DOUBLE) AS change_amount,
-  round(100.0 * CAST(c - p AS DOUBLE) / nullif(CAST(p AS DOUBLE), 0), 2) AS change_percentage,
-  round(100.0 * CAST(c - p AS DOUBLE) / nullif(CAST(sum(c - p) OVER () AS DOUBLE), 0), 2)
+  round(100.0 * CAST(c - p AS DOUBLE) / nullif(CAST(p AS DOUBLE), 0), 2) + 0.0 AS change_percentage,
+  round(100.0 * CAST(c - p AS DOUBLE) / nullif(CAST(sum(c - p) OVER () AS DOUBLE), 0), 2) + 0.0
     AS contribution_to_total_change_percentage
 FROM (SELECT coalesce(cur.v, prev.v) AS v, coalesce(prev.r, 0) AS p, coalesce(cur.r, 0) AS c
   FROM prev FULL OUTER JOIN cur ON prev.v = cur.v)""",
@@ -277,8 +279,8 @@ def _all_changes(dimension, name):
 {name}_changes AS (
   SELECT target_month, v AS dimension_value, CAST(p AS DOUBLE) AS previous_revenue,
     CAST(c AS DOUBLE) AS current_revenue, CAST(ch AS DOUBLE) AS change_amount,
-    round(100.0 * CAST(ch AS DOUBLE) / nullif(CAST(p AS DOUBLE), 0), 2) AS change_percentage,
-    round(100.0 * CAST(ch AS DOUBLE) / nullif(CAST(total AS DOUBLE), 0), 2)
+    round(100.0 * CAST(ch AS DOUBLE) / nullif(CAST(p AS DOUBLE), 0), 2) + 0.0 AS change_percentage,
+    round(100.0 * CAST(ch AS DOUBLE) / nullif(CAST(total AS DOUBLE), 0), 2) + 0.0
       AS contribution_to_total_change_percentage,
     row_number() OVER (PARTITION BY target_month
       ORDER BY CASE WHEN total < 0 THEN ch ELSE -ch END, v) AS change_rank,
@@ -594,7 +596,13 @@ answers AS (
     analysis_type <> 'unsupported' AND NOT (investigated AND found IS NULL) AS supported
   FROM answered),
 support_sizes AS (
-  SELECT analysis_type, month, count(*) AS rows FROM support GROUP BY 1, 2)"""
+  SELECT analysis_type, month, count(*) AS rows FROM support GROUP BY 1, 2),
+sized AS (
+  SELECT a.*, coalesce(s.rows, 0) AS rows, coalesce(s.rows, 0) >= CASE
+      WHEN a.analysis_type IN ('monthly_revenue_trend', 'late_vs_on_time') THEN 2 ELSE 1 END
+      AS shown
+  FROM answers a LEFT JOIN support_sizes s ON s.analysis_type = a.analysis_type
+    AND s.month IS NOT DISTINCT FROM strftime(a.target_month, '%Y-%m'))"""
 
 
 def _answers_with(select):
@@ -641,34 +649,29 @@ def _displayed():
 
 def _citations():
     """The references of the template, in the order they stand there."""
-
-    def in_list(keys):
-        return f"list_contains({_list(keys)}, m)"
-
-    leading_state = f"analysis_type = {_text(routing.BY_STATE)}"
+    leading_state = f"(shown AND analysis_type = {_text(routing.BY_STATE)})"
     item_revenue = f"analysis_type = {_text(routing.CORE_KPIS)}"
-    grain = f"analysis_type IN ({', '.join(_text(t) for t in WITH_GRAIN)})"
-    rows = "coalesce(s.rows, 0)"
-    warnings = _per_analysis(WARNINGS, 0)
+    grain = f"(shown AND analysis_type IN ({', '.join(_text(t) for t in WITH_GRAIN)}))"
+    # An empty trend carries one warning, other empty analyses none.
+    warnings = (
+        f"CASE WHEN shown THEN {_per_analysis(WARNINGS, 0)} "
+        "WHEN analysis_type = 'monthly_revenue_trend' THEN 1 ELSE 0 END"
+    )
     return _answers_with(
         f"""
 SELECT question_id, analysis_type, c.position, c.kind, c.target, c.is_known FROM (
-  SELECT a.question_id, a.analysis_type, unnest([
+  SELECT question_id, analysis_type, unnest([
     {{'position': 0, 'kind': 'metric', 'target': 'item_revenue', 'is_known': {item_revenue}}},
-    {{'position': 1, 'kind': 'row', 'target': '1', 'is_known': {rows} >= 1}},
-    {{'position': 2, 'kind': 'row', 'target': CAST(a.question_id % 13 AS VARCHAR),
-      'is_known': a.question_id % 13 BETWEEN 1 AND {rows}}},
+    {{'position': 1, 'kind': 'row', 'target': '1', 'is_known': rows >= 1}},
+    {{'position': 2, 'kind': 'row', 'target': CAST(question_id % 13 AS VARCHAR),
+      'is_known': question_id % 13 BETWEEN 1 AND rows}},
     {{'position': 3, 'kind': 'metric', 'target': 'leading_state', 'is_known': {leading_state}}},
     {{'position': 4, 'kind': 'method', 'target': 'grain', 'is_known': {grain}}},
-    {{'position': 5, 'kind': 'warning', 'target': '1', 'is_known': TRUE}},
-    {{'position': 6, 'kind': 'warning', 'target': CAST(a.question_id % 5 AS VARCHAR),
-      'is_known': a.question_id % 5 BETWEEN 1 AND {warnings}}},
+    {{'position': 5, 'kind': 'warning', 'target': '1', 'is_known': {warnings} >= 1}},
+    {{'position': 6, 'kind': 'warning', 'target': CAST(question_id % 5 AS VARCHAR),
+      'is_known': question_id % 5 BETWEEN 1 AND {warnings}}},
     {{'position': 7, 'kind': 'metric', 'target': 'no_such_key', 'is_known': FALSE}}]) AS c
-  FROM answers a LEFT JOIN support_sizes s ON s.analysis_type = a.analysis_type
-    AND s.month IS NOT DISTINCT FROM strftime(a.target_month, '%Y-%m')
-  WHERE a.supported)""".replace("analysis_type IN", "a.analysis_type IN")
-        .replace("'is_known': analysis_type", "'is_known': a.analysis_type")
-        .replace("CASE analysis_type", "CASE a.analysis_type")
+  FROM sized WHERE supported)"""
     )
 
 
@@ -830,11 +833,6 @@ def _profile():
     )
 
 
-def _as_text(name, kind):
-    # Doubles print differently; both sides sort and show them as text, so print them alike.
-    return f"CAST({name} AS VARCHAR)"
-
-
 def _leading(columns, order):
     return _union(
         [
@@ -1052,8 +1050,8 @@ worst AS (SELECT customer_state AS s, * FROM ({_scorecard("per_order", "customer
         "A18_late_vs_on_time": _on("SELECT * FROM late_groups", PER_ORDER, LATE_GROUPS),
         "A19_delivery_review_relationship": _on(
             f"""SELECT label AS delivery_delay_band, {REVIEW_COUNTS},
-  round(avg(delivery_delay_days), 2) AS average_delay_days,
-  round(median(delivery_delay_days), 2) AS median_delay_days,
+  round(avg(delivery_delay_days), 2) + 0.0 AS average_delay_days,
+  round(median(delivery_delay_days), 2) + 0.0 AS median_delay_days,
   round(avg(score), 2) AS average_review_score
 FROM labelled WHERE band IS NOT NULL GROUP BY label, band""",
             PER_ORDER,
@@ -1245,13 +1243,11 @@ facts AS (
         "EV10_EX1_unsupported": _unsupported(),
         "EV11_answers": _answers_with(
             f"""
-SELECT a.question_id, a.analysis_type, a.supported, a.target_month, a.failed,
-  coalesce(s.rows, 0) AS rows,
-  CASE WHEN a.failed THEN 0 ELSE {_per_analysis({k: len(v) for k, v in METRIC_KEYS.items()}, 0)
-    .replace("CASE analysis_type", "CASE a.analysis_type")} END AS metrics,
-  CASE WHEN NOT a.failed THEN a.matched_rule END AS router_rule
-FROM answers a LEFT JOIN support_sizes s ON s.analysis_type = a.analysis_type
-  AND s.month IS NOT DISTINCT FROM strftime(a.target_month, '%Y-%m')"""
+SELECT question_id, analysis_type, supported, target_month, failed, rows,
+  CASE WHEN shown THEN {_per_analysis({k: len(v) for k, v in METRIC_KEYS.items()}, 0)}
+    ELSE 0 END AS metrics,
+  CASE WHEN NOT failed THEN matched_rule END AS router_rule
+FROM sized"""
         ),
         "EV12_supporting_rows": _on(
             "SELECT analysis_type, month, row, label, CAST(value AS DOUBLE) AS value FROM support",
