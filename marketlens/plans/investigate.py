@@ -14,7 +14,12 @@ from marketlens.functions.columns import (
     ratio,
     round2,
 )
-from marketlens.functions.guards import require_columns, require_positive
+from marketlens.functions.guards import (
+    DIMENSIONS,
+    require_columns,
+    require_dimension,
+    require_positive,
+)
 from marketlens.functions.text import normalize
 from marketlens.plans.metrics import monthly_revenue, previous_month
 from marketlens.session import stored
@@ -34,7 +39,6 @@ MONTHS = (
     "november",
     "december",
 )
-DIMENSIONS = ("product_category", "customer_state")
 
 
 def monthly_revenue_components(df, minimum_order_count=100):
@@ -83,11 +87,6 @@ def comparable_months(components):
     )
 
 
-def _require_dimension(dimension):
-    if dimension not in DIMENSIONS:
-        raise ValueError(f"Unsupported revenue-change dimension: {dimension}")
-
-
 def revenue_changes(df, months, dimensions=DIMENSIONS):
     """Revenue change per dimension and value for every month pair of `months`, in one scan.
 
@@ -97,7 +96,7 @@ def revenue_changes(df, months, dimensions=DIMENSIONS):
     largest loss first if the total fell, else largest gain first.
     """
     for dimension in dimensions:
-        _require_dimension(dimension)
+        require_dimension(dimension)
     month = F.col("purchase_month_start")
     roles = months.select(
         F.inline(
@@ -169,7 +168,7 @@ def revenue_change(df, dimension, current_month, previous_month):
 
     Both month filters reach the scan; on the stored table they pick two folders.
     """
-    _require_dimension(dimension)
+    require_dimension(dimension)
     month, price = F.col("purchase_month_start"), F.col("item_price").cast(MONEY)
     current, previous = (
         F.lit(str(m)).cast("timestamp_ntz") for m in (current_month, previous_month)

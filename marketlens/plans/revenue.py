@@ -4,12 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.columns import money_sum, percentage
-from marketlens.functions.guards import require_positive
+from marketlens.functions.guards import require_dimension, require_positive
 from marketlens.plans.metrics import monthly_revenue, with_growth
 
 
 def _segments(df, dimension):
-    # The revenue stays a decimal here, so the total over segments is exact too.
+    # The revenue stays a decimal here, so the total over segments is exact too. That total is
+    # a window over one row per category or state.
     return (
         df.filter(F.col(dimension).isNotNull())
         .groupBy(dimension)
@@ -36,6 +37,7 @@ def _limited(df, limit):
 
 def segment_revenue(df, dimension, limit=None):
     """Revenue, distinct orders and share of the total per known value, largest first."""
+    require_dimension(dimension)
     require_positive(limit=limit)
     ranked = _with_share(_segments(df, dimension), dimension).orderBy(
         F.desc_nulls_last("item_revenue"), dimension

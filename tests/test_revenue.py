@@ -58,6 +58,11 @@ def test_largest_changes_by_size(table):
     assert [(r[0], r[3]) for r in found] == [(MAR, -75.0), (FEB, 33.33)]
 
 
+def test_only_known_dimensions(table):
+    with pytest.raises(ValueError, match="Unsupported"):
+        revenue.segment_revenue(table, "order_id")
+
+
 @pytest.mark.parametrize(
     "call",
     [
