@@ -6,12 +6,19 @@ the session, and read back by the queries, as an analyst would use it.
 
 from __future__ import annotations
 
+import os
+import shutil
+import sys
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.oracle import oracle_queries
+HOME = os.path.dirname(os.path.abspath(__file__))
+if HOME not in sys.path:
+    sys.path.insert(0, HOME)
+
 from marketlens.functions.columns import delay_band_label, delay_band_order
 from marketlens.functions.text import normalize
 from marketlens.operators import model, profile, quality, semantic
@@ -20,6 +27,7 @@ from marketlens.plans import delivery, evidence, explain, followups, investigate
 from marketlens.plans.routing import route_questions
 from marketlens.session import new_table_path
 from marketlens.sources import adapter, staging, tables
+from marketlens_checks.oracle import oracle_queries
 
 FLAGSHIP_FOLDER = "/root/testdata/sf0.001"
 
@@ -36,6 +44,20 @@ def _once(spark, folder, kind, write, read=lambda path: path):
     return _stored[key]
 
 
+def _ship_library(spark):
+    """Make the library importable in Python workers, wherever the session was started.
+
+    Spark hands the archive to the executors, as with --py-files.
+    """
+
+    def add(path):
+        name = os.path.join(tempfile.mkdtemp(), "marketlens")
+        archive = shutil.make_archive(name, "zip", HOME, "marketlens")
+        spark.sparkContext.addPyFile(archive)
+
+    _once(spark, HOME, "library", add)
+
+
 def _build(spark, folder):
     return model.build_order_items(adapter.staging_from_star_schema(spark, folder))
 
@@ -346,6 +368,7 @@ def _conversation_needs_context(spark, folder):
 
 
 def _resolved(spark, folder):
+    _ship_library(spark)
     months = followups.answerable_months(evidence_inputs(spark, folder).components)
     return followups.resolve_conversations(_questions(spark, folder), months)
 

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as registered
-from checks.compare import compare, oracle
+from marketlens_checks.compare import compare, oracle
 
 
 @pytest.fixture(scope="module")
