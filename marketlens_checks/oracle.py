@@ -996,9 +996,12 @@ worst AS (SELECT customer_state AS s, * FROM ({_scorecard("per_order", "customer
             "SELECT order_id, payment_type, payment_installments, payment_value FROM st_payments"
         ),
         "SRC3_stored_table": _on(f"SELECT {order_items} FROM oi"),
-        "SRC6_table_schema": "SELECT * FROM (VALUES "
-        + ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TYPE_NAMES, 1))
-        + ") AS t(position, column_name, column_type)",
+        "SRC6_table_schema": _on(
+            "SELECT row_count, column_name, column_type "
+            "FROM (SELECT count(*) AS row_count FROM oi), (VALUES "
+            + ", ".join(f"('{n}', '{t}')" for n, t in TYPE_NAMES)
+            + ") AS t(column_name, column_type)"
+        ),
         "SRC6_table_summary": _on("SELECT count(*) AS row_count, 31 AS column_count FROM oi"),
         "SRC7_build_from_files": _on(f"SELECT {order_items} FROM oi"),
         "SC11_delay_bands": _on(

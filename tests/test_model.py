@@ -158,3 +158,32 @@ def test_build_from_files(spark, staged, built, tmp_path):
     assert table.exceptAll(built).count() == 0
     assert tables.table_summary(table).first().column_count == 31
     assert tables.table_schema(table).count() == 31
+
+
+def test_a_customer_with_very_many_orders_is_split(spark, staged, tmp_path):
+    """Without broadcasts, the adaptive skew join splits the orders of a hot customer."""
+    at_customer = F.when(F.rand(3) < 0.4, F.lit("1")).otherwise(F.col("customer_id"))
+    folder = str(tmp_path / "orders")
+    staged["orders"].withColumn("customer_id", at_customer).repartition(8).write.parquet(folder)
+    changed = {**staged, "orders": spark.read.parquet(folder)}
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        # A split needs more than one upstream task; small data would be merged into one.
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = model.build_order_items(changed)
+        assert len(df.collect()) == 6000
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    customers = [line for line in plan.splitlines() if "SortMergeJoin" in line and "customer_id" in line]
+    assert customers and all("skew=true" in line for line in customers)
