@@ -100,6 +100,22 @@ def _staged(name):
     return query
 
 
+def _source_row_counts(spark, folder):
+    """Rows and values that do not parse, per checked source file."""
+    paths = staging.required_files(spark, _csv_folder(spark, folder))
+    counted = None
+    for name, path in paths.items():
+        rows = staging.read_csv_source(spark, name, path).agg(F.count(F.lit(1)).alias("source_rows"))
+        bad = staging.bad_value_counts(spark, name, path).agg(F.sum("bad_values").alias("bad"))
+        one = (
+            rows.unionByName(bad, allowMissingColumns=True)
+            .agg(F.max("source_rows").alias("source_rows"), F.max("bad").alias("bad_values"))
+            .select(F.lit(name).alias("source"), "source_rows", "bad_values")
+        )
+        counted = one if counted is None else counted.unionByName(one)
+    return counted
+
+
 def _from_staging(function, *names):
     def query(spark, folder):
         staged = adapter.staging_from_star_schema(spark, folder)
@@ -332,7 +348,19 @@ def _unsupported(spark, folder):
 
 def _prompts(spark, folder):
     answers = _answers(spark, folder).filter("supported")
-    return explain.explanations(answers).select("question_id", "prompt")
+    prompts = explain.explanations(answers).select("question_id", "question", "prompt")
+    found = F.regexp_extract("prompt", r"(?s)Verified evidence object:\n\n(.*)\n\nAnswer", 1)
+    return prompts.withColumn("evidence", found).select(
+        "question_id",
+        F.startswith(
+            "prompt", F.concat(F.lit("Original business question:\n\n"), F.col("question"))
+        ).alias("starts_with_question"),
+        F.get_json_object("evidence", "$.analysis_type").alias("analysis_type"),
+        F.get_json_object("evidence", "$.question").alias("question"),
+        F.json_array_length(F.get_json_object("evidence", "$.supporting_rows")).alias("rows"),
+        F.json_array_length(F.get_json_object("evidence", "$.warnings")).alias("warnings"),
+        F.get_json_object("evidence", "$.metrics.leading_state").alias("leading_state"),
+    )
 
 
 def _explained_orders(spark, folder):
@@ -408,6 +436,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     metric = semantic.aggregate_metric
     return {
+        "SRC1_SRC2_source_row_counts": _source_row_counts,
         "SRC2_staged_orders": _staged("orders"),
         "SRC2_staged_payments": _staged("payments"),
         "SRC3_stored_table": _on_table(lambda df: df),

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 
 def staging_from_star_schema(spark, folder):
-    def table(name):
-        return spark.read.parquet(f"{folder}/{name}.parquet")
-
+    orders, lineitem, customer, nation, part = (
+        spark.read.parquet(f"{folder}/{name}.parquet")
+        for name in ("orders", "lineitem", "customer", "nation", "part")
+    )
     return {
-        "orders": _orders(table("orders")),
-        "order_items": _order_items(table("lineitem")),
-        "customers": _customers(table("customer"), table("nation")),
-        "products": _products(table("part")),
-        "payments": _payments(table("orders")),
-        "reviews": _reviews(table("orders")),
-        "category_translation": _category_translation(table("part")),
+        "orders": _orders(orders),
+        "order_items": _order_items(lineitem),
+        "customers": _customers(customer, nation),
+        "products": _products(part),
+        "payments": _payments(orders),
+        "reviews": _reviews(orders),
+        "category_translation": _category_translation(part),
     }
 
 

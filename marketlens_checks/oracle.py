@@ -991,6 +991,27 @@ def oracle_queries():
     worst_state = f"""
 worst AS (SELECT customer_state AS s, * FROM ({_scorecard("per_order", "customer_state", 100)}) LIMIT 1)"""
     return {
+        "SRC1_SRC2_source_row_counts": _on(
+            _union(
+                [
+                    f"SELECT '{name}' AS source, count(*) AS source_rows, 0 AS bad_values "
+                    f"FROM {table}"
+                    for name, table in (
+                        ("orders", "st_orders"),
+                        ("order_items", "st_items"),
+                        ("customers", "st_customers"),
+                        ("products", "st_products"),
+                        ("payments", "st_payments"),
+                        ("reviews", "st_reviews"),
+                        (
+                            "category_translation",
+                            "(SELECT DISTINCT p_type FROM part "
+                            "WHERE p_type IN ('ECONOMY', 'LARGE', 'PROMO', 'SMALL'))",
+                        ),
+                    )
+                ]
+            )
+        ),
         "SRC2_staged_orders": _on("SELECT * FROM st_orders"),
         "SRC2_staged_payments": _on(
             "SELECT order_id, payment_type, payment_installments, payment_value FROM st_payments"
@@ -1261,6 +1282,17 @@ FROM sized"""
         "FU1_conversation_turns": f"SELECT conv_id, turn, {_leans('text')} AS leans "
         "FROM conversations",
         "FU2_FU3_resolved_conversations": _resolved(),
+        "EX2_prompts": _answers_with(
+            f"""
+SELECT question_id, TRUE AS starts_with_question, analysis_type, question, rows,
+  CASE WHEN shown THEN {_per_analysis(WARNINGS, 0)}
+    WHEN analysis_type = 'monthly_revenue_trend' THEN 1 ELSE 0 END AS warnings,
+  CASE WHEN shown AND analysis_type = 'revenue_by_state' THEN (
+    SELECT customer_state FROM (SELECT customer_state, round(sum(item_price), 2) AS r FROM oi
+      WHERE customer_state IS NOT NULL GROUP BY 1) ORDER BY r DESC, customer_state LIMIT 1) END
+    AS leading_state
+FROM sized WHERE supported"""
+        ),
         "EX3_display_markdown": _displayed(),
         "EX4_citations": _citations(),
     }
