@@ -29,6 +29,13 @@ from marketlens.session import new_table_path
 from marketlens.sources import adapter, staging, tables
 from marketlens_checks.oracle import oracle_queries
 
+try:  # the text operators can be taken away as a whole
+    from marketlens.llm import queries as text_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("marketlens.llm", "marketlens.llm.queries"):
+        raise
+    text_queries = None
+
 FLAGSHIP_FOLDER = "/root/testdata/sf0.001"
 
 _stored: dict[tuple[str, str, str], object] = {}
@@ -434,6 +441,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    added = text_queries.QUERIES if text_queries else {}
+    return {**_own_queries(), **added}
+
+
+def _own_queries():
     metric = semantic.aggregate_metric
     return {
         "SRC1_SRC2_source_row_counts": _source_row_counts,
@@ -538,4 +550,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries()
+    added = text_queries.ORACLE_SQL if text_queries else {}
+    return {**oracle_queries(), **added}
