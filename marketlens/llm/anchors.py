@@ -170,6 +170,7 @@ def settled_regions(found, keep_first):
         "size",
         "place",
         (settled | covered).alias("covered"),
+        (settled | covered | F.col("several")).alias("done"),
         compared.alias("compared"),
     )
     return marks.filter("covered OR compared")
@@ -183,7 +184,7 @@ def cut_out(settled, keyed_docs, cut, piece_type):
     wanted = (
         settled.filter("compared")
         .groupBy("key", "variant")
-        .agg(F.collect_list(F.struct("anchor", "shards", "shard", "start", "size")).alias("parts"))
+        .agg(F.collect_list(F.struct("anchor", "shards", "shard", "start", "size", "done")).alias("parts"))
     )
     texts = keyed_docs.select("key", "variant", "text")
     joined = wanted.join(texts, ["key", "variant"]).select("key", "variant", "text", "parts")
@@ -194,9 +195,7 @@ def cut_out(settled, keyed_docs, cut, piece_type):
             sizes = np.diff(lists.offsets.to_numpy())
             row = np.repeat(np.arange(len(sizes)), sizes)
             fields = lists.flatten()
-            anchor, shards, shard, start, size = (
-                fields.field(i).to_numpy() for i in range(5)
-            )
+            anchor, shards, shard, start, size = (fields.field(i).to_numpy() for i in range(5))
             pieces = cut(*textbytes.flat(part.column(2)), row, start.astype(np.int64), size.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -208,14 +207,15 @@ def cut_out(settled, keyed_docs, cut, piece_type):
                     pa.array(start),
                     pa.array(size),
                     pieces,
+                    fields.field(5),
                 ],
-                ["anchor", "shards", "shard", "key", "variant", "start", "size", "piece"],
+                ["anchor", "shards", "shard", "key", "variant", "start", "size", "piece", "done"],
             )
 
-    return joined.mapInArrow(split, CUT + piece_type)
+    return joined.mapInArrow(split, f"{CUT} {piece_type}, done boolean")
 
 
-CUT = "anchor long, shards int, shard int, key long, variant long, start int, size int, piece "
+CUT = "anchor long, shards int, shard int, key long, variant long, start int, size int, piece"
 
 
 def compared_in_blocks(cut, compare, schema, most_symbols):

@@ -1,8 +1,21 @@
 """The registered queries of this package, each over its whole tables, and their oracle SQL."""
 
+import corpus_pipeline
 import public_tokenizers
-from marketlens.llm import decontam, packing, suffix_dedup, tokenfiles, warc
+from marketlens.llm import (
+    dart,
+    decontam,
+    fm_dedup,
+    katz,
+    packing,
+    suffix_dedup,
+    syncmers,
+    tokenfiles,
+    toxicity,
+    warc,
+)
 from marketlens.llm.runtime import table
+from pyspark.sql import functions as F
 
 #: Tokenizer files are read where they are installed.
 PACKING_TOKENIZER = "byte_bpe_50k.json"
@@ -26,22 +39,65 @@ def op3_suffix_dedup(spark, folder):
     return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("removed")
 
 
+def op4_near_duplicates(spark, folder):
+    return dart.near_duplicates(table(spark, folder, "documents"))
+
+
+def _crc(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def _toxicity_rows(doc_id):
+    return _crc(doc_id) % 5 != 0
+
+
+def op5_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    classifier = toxicity.fit(docs, table(spark, folder, "labels"), _toxicity_rows)
+    rows = toxicity.scored(docs, classifier)
+    held_out = F.coalesce(_crc(F.col("doc_id")) % 5 == 0, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_packing(spark, folder):
     path = public_tokenizers.path(PACKING_TOKENIZER)
     return packing.pack(table(spark, folder, "documents"), path, end_id=0)
 
 
+def op7_syncmers(spark, folder):
+    return syncmers.edit_fingerprints(table(spark, folder, "documents"))
+
+
 def op8_token_files(spark, folder):
     path = public_tokenizers.path(FILE_TOKENIZER)
     return tokenfiles.token_file_round_trip(table(spark, folder, "documents"), path, end_id=1)
 
 
+def op9_katz(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_crc(F.col("doc_id")) % 7 == 2, F.lit(False))
+    rows = katz.scores(docs, ~held_out, reread=True)
+    return rows.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op10_fm_dedup(spark, folder):
+    return fm_dedup.remove_repeats(table(spark, folder, "documents")).drop("removed")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op7_syncmers": op7_syncmers,
     "op8_token_files": op8_token_files,
+    "op9_katz": op9_katz,
+    "op10_fm_dedup": op10_fm_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 _WARC_SQL = """

@@ -43,8 +43,15 @@ def keyed(docs, id_col="doc_id", text_col="text"):
     variant is then a hash of the text, and 0 otherwise. A row that is repeated whole is the same
     document each time. Other columns are left out, so their names can't clash.
     """
+    return keyed_rows(docs, id_col, text_col)[0].drop("row")
+
+
+def keyed_rows(docs, id_col="doc_id", text_col="text"):
+    """As `keyed`, with all columns of `docs` as struct `row`; and whether any id is repeated."""
     plain = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.col(f"`{text_col}`").cast("string").alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     ).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
     repeated = (
         plain.groupBy("key")
@@ -53,12 +60,11 @@ def keyed(docs, id_col="doc_id", text_col="text"):
         .select("key", F.lit(True).alias("repeated"))
     )
     if repeated.isEmpty():
-        return plain.withColumn("variant", F.lit(0).cast("long"))
+        return plain.withColumn("variant", F.lit(0).cast("long")), False
     own = F.when(F.col("repeated"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    variant = F.coalesce(own, F.lit(0).cast("long")).alias("variant")
     marked = plain.join(repeated, "key", "left")
-    return marked.select(
-        "doc_id", "text", "key", F.coalesce(own, F.lit(0).cast("long")).alias("variant")
-    )
+    return marked.select("doc_id", "text", "row", "key", variant), True
 
 
 def file_system(uri):

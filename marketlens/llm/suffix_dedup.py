@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from marketlens.llm import anchors, suffixes, textbytes
-from marketlens.llm.runtime import NO_ID, keyed, stored
+from marketlens.llm.runtime import keyed, keyed_rows, stored
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,28 +245,10 @@ def deduplicated(docs, id_col="doc_id", text_col="text", n_chars_col="n_chars",
     A character goes if all its bytes go. A null text stays null. `n_chars_col`, if there is such
     a column, is the new length.
     """
-    named = keyed(docs, id_col, text_col)
-    covered = repeated_stretches(named, window).groupBy("key", "variant").agg(
-        F.collect_list(F.struct("start", "size")).alias("stretches")
-    )
-    # The texts once more, as all columns are wanted; names of helpers can't clash.
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(
-        whole.alias("row"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"),
-        F.col(text_col).cast("string").alias("text"),
-    )
-    marks = covered.select(
-        F.col("key").alias("marked_key"), F.col("variant").alias("marked_variant"), "stretches"
-    )
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = rows.join(
-        marks,
-        (F.col("key") == F.col("marked_key"))
-        & ((F.col("marked_variant") == 0) | (F.col("marked_variant") == own)),
-        "left",
-    ).select("row", "text", "stretches")
-    schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("kept", T.StringType())])
+    rows, _ = keyed_rows(docs, id_col, text_col)
+    covered = repeated_stretches(rows.drop("row"), window)
+    joined = with_stretches(rows, covered).select("row", "text", "stretches")
+    schema = T.StructType([joined.schema["row"], T.StructField("kept", T.StringType())])
 
     def cut(batches):
         held, part_held = [], None
