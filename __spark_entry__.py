@@ -69,6 +69,11 @@ def _build(spark, folder):
     return model.build_order_items(adapter.staging_from_star_schema(spark, folder))
 
 
+def _split_orders(spark, folder):
+    """The order-item table with every order of several items spread over salts."""
+    return model.build_order_items(adapter.staging_from_star_schema(spark, folder), rows_per_salt=2)
+
+
 def order_items(spark, folder):
     """The stored order-item table of a data folder."""
     return _once(
@@ -112,6 +117,7 @@ def _source_row_counts(spark, folder):
     paths = staging.required_files(spark, _csv_folder(spark, folder))
     counted = None
     for name, path in paths.items():
+        # Reader and counters take line breaks in quotes the same way.
         rows = staging.read_csv_source(spark, name, path).agg(F.count(F.lit(1)).alias("source_rows"))
         bad = staging.bad_value_counts(spark, name, path).agg(F.sum("bad_values").alias("bad"))
         one = (
@@ -160,18 +166,64 @@ def _numeric_statistics(spark, folder):
 
 
 def _profile(spark, folder):
+    """The whole profile, lists as texts and bounds as numbers or times."""
     whole = profile.profile_table(order_items(spark, folder))
+    bounds, places = F.col("statistics"), F.lit(10000.0)
+    number = bounds["median"].isNotNull()
+    common = F.transform("most_common_values", lambda v: F.concat_ws("=", v["value"], v["frequency"]))
     return whole.select(
-        "column_name",
-        "database_type",
-        "null_count",
-        "unique_count",
-        F.size("sample_values").alias("samples"),
-        F.coalesce(F.size("most_common_values"), F.lit(0)).alias("common_values"),
-        F.col("statistics").isNotNull().alias("has_statistics"),
+        *[c for c in whole.columns if c not in ("sample_values", "most_common_values", "statistics")],
+        F.when(number, bounds["minimum"].cast("double")).alias("least"),
+        F.when(number, bounds["maximum"].cast("double")).alias("most"),
+        (F.round(bounds["mean"] * places) / places).alias("mean"),
+        bounds["median"].alias("median"),
+        F.when(~number, bounds["minimum"]).alias("first_time"),
+        F.when(~number, bounds["maximum"]).alias("last_time"),
+        F.array_join("sample_values", "|").alias("samples"),
+        F.array_join(common, "|").alias("common_values"),
     )
 
 
+def _dense_numbers(spark, folder):
+    """Statistics of ids far from zero, tiny shares, decimals, and numbers that are none."""
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet")
+    key, quantity = F.col("l_orderkey"), F.col("l_quantity")
+    table = rows.select(
+        (key + 10**12).alias("far_id"),
+        (F.col("l_tax") / 1e6).alias("share"),
+        (-key).alias("below_zero"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("exact"),
+        F.when(key % 7 == 0, float("nan"))
+        .when(key % 11 == 0, float("-inf"))
+        .otherwise(quantity)
+        .alias("gaps"),
+    )
+    return profile.numeric_statistics(table).drop("mean")
+
+
+def _fallback_aggregations(spark, folder):
+    """Columns that no one has registered, each aggregated as its inferred semantics allow."""
+    table = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        F.col("l_orderkey").alias("line_id"),
+        "l_quantity",
+        "l_returnflag",
+        "l_shipdate",
+        (F.col("l_tax") > 0.04).alias("taxed"),
+    )
+    found = None
+    for name, column, aggregation in (
+        ("orders", "line_id", "count_distinct"),
+        ("taxed", "taxed", None),
+        ("quantity", "l_quantity", None),
+        ("middle", "l_quantity", "median"),
+        ("last_shipped", "l_shipdate", "maximum"),
+    ):
+        one = semantic.aggregate_metric(table, column, aggregation, by=["l_returnflag"])
+        one = one.withColumnRenamed("value", name)
+        found = one if found is None else found.join(one, "l_returnflag")
+    return found
+
+
 def _metadata(spark, folder):
     def write(path):
         built = semantic.build_semantic_metadata(order_items(spark, folder))
@@ -356,11 +408,11 @@ def _unsupported(spark, folder):
 def _prompts(spark, folder):
     answers = _answers(spark, folder).filter("supported")
     prompts = explain.explanations(answers).select("question_id", "question", "prompt")
-    found = F.regexp_extract("prompt", r"(?s)Verified evidence object:\n\n(.*)\n\nAnswer", 1)
+    found = F.regexp_extract("prompt", r"(?s)as JSON:\n\n(.*)\n\nUse nothing", 1)
     return prompts.withColumn("evidence", found).select(
         "question_id",
         F.startswith(
-            "prompt", F.concat(F.lit("Original business question:\n\n"), F.col("question"))
+            "prompt", F.concat(F.lit("Question asked:\n\n"), F.col("question"))
         ).alias("starts_with_question"),
         F.get_json_object("evidence", "$.analysis_type").alias("analysis_type"),
         F.get_json_object("evidence", "$.question").alias("question"),
@@ -450,7 +502,17 @@ def _own_queries():
     return {
         "SRC1_SRC2_source_row_counts": _source_row_counts,
         "SRC2_staged_orders": _staged("orders"),
-        "SRC2_staged_payments": _staged("payments"),
+        **{
+            f"SRC2_staged_{name}": _staged(name)
+            for name in (
+                "order_items",
+                "customers",
+                "products",
+                "payments",
+                "reviews",
+                "category_translation",
+            )
+        },
         "SRC3_stored_table": _on_table(lambda df: df),
         "SRC6_table_schema": _on_table(
             lambda df: tables.table_summary(df).select("row_count", F.inline("columns"))
@@ -467,6 +529,7 @@ def _own_queries():
         ),
         "M4_order_level_reduction": _on_table(_order_level),
         "M5_analytical_table": _build,
+        "M5_split_orders": _split_orders,
         "A1_item_revenue": _on_table(metrics.item_revenue),
         "A2_freight_value": _on_table(metrics.freight_value),
         "A3_order_count": _on_table(metrics.order_count),
@@ -505,6 +568,7 @@ def _own_queries():
         "Q13_failing_grain": lambda spark, folder: quality.validate(_raw_lineitem(spark, folder)),
         "P1_column_counts": _on_table(profile.column_counts),
         "P2_numeric_statistics": _numeric_statistics,
+        "P2_dense_numbers": _dense_numbers,
         "P3_temporal_statistics": _on_table(profile.temporal_statistics),
         "P4_most_common_values": _on_table(profile.most_common_values),
         "P5_sample_values": _sample_values,
@@ -513,6 +577,18 @@ def _own_queries():
         "S2_fallback_semantics": _fallback,
         "S3_SRC5_semantic_metadata": _metadata_rows,
         "S4_role_counts": lambda spark, folder: semantic.role_counts(_metadata(spark, folder)),
+        "S3_table_metadata": _on_table(
+            lambda df: semantic.table_metadata(df, "order_items").select(
+                "table_name",
+                "row_count",
+                "column_count",
+                "table_grain",
+                F.array_join("grain_key_columns", ",").alias("grain_key_columns"),
+                F.size("important_rules").alias("rules"),
+            )
+        ),
+        "S4_warnings": lambda spark, folder: semantic.aggregation_warnings(_metadata(spark, folder)),
+        "S5_fallback_aggregations": _fallback_aggregations,
         "S5_payment_value_by_state": _on_table(
             metric, "total_payment_value", by=["customer_state"]
         ),

@@ -6,8 +6,6 @@ from marketlens.functions.columns import days_between, late_flag, money_sum, mon
 from marketlens.operators.skew import SALT, hot_keys, replicate_keyed, salt_rows
 from marketlens.schema import ORDER_ITEMS
 
-ROWS_PER_SALT = 2_000_000
-
 
 def payment_summary(payments):
     """Payments at order grain."""
@@ -103,14 +101,15 @@ def item_side(order_items, products, translation):
     )
 
 
-def build_order_items(staging, rows_per_salt=ROWS_PER_SALT):
+def build_order_items(staging, rows_per_salt=None):
     """The order-item table from the seven staging tables (a dict by logical name).
 
     Payments and reviews are brought to order grain before they are joined, so no join
     multiplies items. An order that holds very many items is spread over several tasks: its
     items are salted at the scan and its one order row is repeated per salt. Hot customers and
     products sit in the larger side of plain left joins, where the adaptive skew join splits
-    them. The small sides carry no broadcast hint; their measured size decides.
+    them. The small sides carry no broadcast hint; their measured size decides. `rows_per_salt`
+    overrides from how many items on an order is spread; see `hot_keys`.
     """
     items = staging["order_items"].filter(F.col("order_id").isNotNull())
     hot = hot_keys(items, "order_id", rows_per_salt)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.functions.columns import ratio, round2
-from marketlens.operators.median import exact_median
+from marketlens.operators.median import exact_median, sort_code
 from marketlens.session import stored
 
 NUMERIC, TEMPORAL, CATEGORICAL = "numeric", "temporal", "categorical"
@@ -133,9 +133,18 @@ def numeric_statistics(df, counts=None):
             "mean": lambda c: F.avg(c).cast("double"),
         },
     )
-    counts = counts if counts is not None else value_counts(df, columns)
+    counts = counts if counts is not None else stored(value_counts(df, columns), "value_counts")
+    # Each text goes back to the type it was made from, so that large numbers stay exact.
+    by_type = {}
+    for f in df.schema.fields:
+        if f.name in columns:
+            by_type.setdefault(f.dataType, []).append(f.name)
+    code = F.lit(None).cast("bigint")
+    for kind, names in by_type.items():
+        own = sort_code(F.col("value").cast(kind), kind)
+        code = F.when(F.col("column_name").isin(names), own).otherwise(code)
     numbers = counts.filter(F.col("column_name").isin(columns)).select(
-        "column_name", F.col("value").cast("double").alias("value"), "n"
+        "column_name", code.alias("code"), F.col("value").cast("double").alias("value"), "n"
     )
     medians = exact_median(numbers, ["column_name"], small_keys=True)
     return bounds.join(medians, "column_name", "left")

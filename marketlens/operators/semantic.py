@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.columns import money_sum, percent_true, round2
 from marketlens.operators.median import exact_median, value_counts
-from marketlens.operators.profile import profile_table
+from marketlens.operators.profile import column_counts, profile_table
 
 SEMANTICS = (
     "column_name string, semantic_role string, entity string, business_meaning string, "
@@ -69,6 +69,7 @@ def _order_measure(entity, meaning, allowed, default="order_level_average", **ex
     )
 
 
+# The columns of the table and what each of them is.
 REGISTRY = {
     "order_id": _key("order", "Identifies an order.", "order"),
     "order_item_id": _entry(
@@ -140,6 +141,7 @@ REGISTRY = {
 }
 
 TABLE_GRAIN = "One row is one purchased item of an order."
+GRAIN_KEY = ("order_id", "order_item_id")
 RULES = (
     "Item-level amounts such as item_price and freight_value may be summed over rows.",
     "Order-level values repeat on item rows; reduce to one row per order first.",
@@ -156,7 +158,7 @@ def column_registry(spark):
 def fallback_semantics():
     """Semantics of an unknown column from its name, type and share of distinct values."""
     name, kind = F.col("column_name"), F.col("database_type")
-    numeric = kind.rlike(r"^(tinyint|smallint|int|bigint|float|double|decimal)")
+    numeric = kind.rlike(r"^(tinyint|smallint|int|bigint|float|double|decimal\(\d+,\d+\))$")
 
     def inferred(role, default, *allowed):
         return F.struct(
@@ -177,7 +179,7 @@ def fallback_semantics():
     return (
         F.when(name.endswith("_id"), inferred("identifier", "count_distinct", "count_distinct"))
         .when(
-            kind.rlike("^(date|timestamp|time)"),
+            kind.rlike(r"^(date|timestamp|timestamp_ntz|time(\(\d+\))?)$"),
             inferred("time_dimension", "group_by", "group_by", "minimum", "maximum"),
         )
         .when(
@@ -220,6 +222,18 @@ def build_semantic_metadata(df):
     return enrich_profile(profile_table(df)).orderBy("position")
 
 
+def table_metadata(df, table_name):
+    """One row about the table as a whole: its size, its grain and the rules for its use."""
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
+        F.lit(table_name).alias("table_name"),
+        "row_count",
+        F.lit(len(df.columns)).alias("column_count"),
+        F.lit(TABLE_GRAIN).alias("table_grain"),
+        F.array(*[F.lit(c) for c in GRAIN_KEY]).alias("grain_key_columns"),
+        F.array(*[F.lit(r) for r in RULES]).alias("important_rules"),
+    )
+
+
 def role_counts(metadata):
     return metadata.groupBy("semantic_role").agg(F.count(F.lit(1)).alias("columns"))
 
@@ -233,7 +247,6 @@ def save_semantic_metadata(metadata, path):
     metadata.coalesce(1).write.mode("overwrite").json(path)
 
 
-
 # The first day of the period a time falls into.
 PERIODS = {
     "group_by_day": lambda c: c.cast("date"),
@@ -253,17 +266,21 @@ MEASURES = {
     "count_distinct": F.count_distinct,
     "count_true": F.count_if,
     "order_level_percentage_true": percent_true,
+    "percentage_true": percent_true,
 }
 
 
-def _semantics_of(column):
-    if column not in REGISTRY:
-        raise ValueError(f"No semantics are registered for column: {column}")
-    return REGISTRY[column]
+def semantics_of(df, column):
+    """The semantics of a column of `df`: registered, or inferred from its counts by one job."""
+    if column in REGISTRY:
+        return REGISTRY[column]
+    if column not in df.columns:
+        raise ValueError(f"There is no such column: {column}")
+    counts = column_counts(df.select(column))
+    return enrich_profile(counts).first().asDict()
 
 
-def _allowed(column, aggregation):
-    entry = _semantics_of(column)
+def _allowed(entry, column, aggregation):
     aggregation = aggregation or entry["default_aggregation"]
     if aggregation not in entry["allowed_aggregations"]:
         raise ValueError(
@@ -272,10 +289,10 @@ def _allowed(column, aggregation):
     return aggregation
 
 
-def _group(by):
+def _group(df, by):
     """(name, column) of a grouping given as a column name or as (name, aggregation)."""
     name, aggregation = by if isinstance(by, tuple) else (by, None)
-    aggregation = _allowed(name, aggregation)
+    aggregation = _allowed(semantics_of(df, name), name, aggregation)
     if not aggregation.startswith("group_by"):
         raise ValueError(f"Cannot group by {name} with {aggregation}.")
     return name, PERIODS.get(aggregation, lambda c: c)(F.col(name)).alias(name)
@@ -286,18 +303,21 @@ def aggregate_metric(df, column, aggregation=None, by=()):
 
     Without `aggregation` the default one of the column is used. `by` lists dimensions; a time
     may be given as ("purchase_timestamp", "group_by_week"). A column at order grain is reduced
-    to one value per order and group first. Rows without a group value are left out.
+    to one value per order and group first. Rows without a group value are left out. A column
+    that isn't registered has the semantics that its name, type and values suggest.
     """
-    aggregation = _allowed(column, aggregation)
-    if aggregation.startswith("group_by"):
+    entry = semantics_of(df, column)
+    aggregation = _allowed(entry, column, aggregation)
+    if aggregation.startswith("group_by") or aggregation == "none":
         raise ValueError(f"{column} is a dimension; name it in `by` or choose an aggregation.")
-    groups = [_group(b) for b in by]
+    groups = [_group(df, b) for b in by]
     names = [name for name, _ in groups]
-    rows = df.select("order_id", *[c for _, c in groups], F.col(column).alias("value"))
+    at_order = entry["metric_grain"] == "order" and "measure" in entry["semantic_role"]
+    key = ["order_id"] if at_order else []
+    rows = df.select(*key, *[c for _, c in groups], F.col(column).alias("value"))
     for name in names:
         rows = rows.filter(F.col(name).isNotNull())
-    entry = REGISTRY[column]
-    if entry["metric_grain"] == "order" and "measure" in entry["semantic_role"]:
+    if at_order:
         reduce = F.bool_or if entry["semantic_role"] == "boolean_measure" else F.max
         rows = rows.groupBy("order_id", *names).agg(reduce("value").alias("value"))
     if aggregation == "median":

@@ -3,6 +3,9 @@
 import tempfile
 import uuid
 
+#: No file of a stored table has more rows.
+FILE_ROWS = 20_000_000
+
 
 def shared_folder(spark) -> str:
     """The folder named by `spark.checkpoint.dir`; on a local master, one of our own if unset."""
@@ -24,11 +27,13 @@ def stored(df, name, partition_by=None):
     """The rows of `df` as a table in the shared folder, computed once, now.
 
     For what several later steps read: a column filter or a partition filter of theirs would
-    otherwise reach below the shuffle and make each of them compute it all again.
+    otherwise reach below the shuffle and make each of them compute it all again. Adaptive
+    execution has sized the partitions of a shuffle already; only rows that go to folders are
+    gathered by folder first.
     """
     path = new_table_path(df.sparkSession, name)
     if partition_by:
         df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
     else:
-        df.hint("rebalance").write.parquet(path)
+        df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

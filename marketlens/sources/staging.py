@@ -6,6 +6,11 @@ from marketlens.functions.guards import require_columns
 from marketlens.schema import SOURCES
 
 
+#: Sources whose texts can hold line breaks inside quotes. A file of these is read in one piece,
+#: so large ones should come as many files.
+MULTILINE = ("reviews",)
+
+
 def required_files(spark, folder, files=None):
     """Path of each source file; one error that lists every file that is missing.
 
@@ -26,14 +31,14 @@ def required_files(spark, folder, files=None):
     return paths
 
 
-def read_csv_source(spark, name, path, on_bad_value="fail", multiline=False):
+def read_csv_source(spark, name, path, on_bad_value="fail", multiline=MULTILINE):
     """One headered CSV; columns are found by name and cast to the known types.
 
     No inference pass. `on_bad_value="null"` turns a value that does not parse into NULL
-    (`bad_value_counts` counts those); "fail" stops the job. Line breaks inside quotes need
-    `multiline=True`, which costs the splitting of large files.
+    (`bad_value_counts` counts those); "fail" stops the job. `multiline` names the sources that
+    can hold line breaks inside quotes; files of other sources are split between tasks.
     """
-    raw = read_raw_csv(spark, path, multiline)
+    raw = read_raw_csv(spark, path, name in multiline)
     fields = SOURCES[name].fields
     require_columns(raw, [f.name for f in fields])
     if on_bad_value not in ("fail", "null"):
@@ -51,9 +56,9 @@ def read_raw_csv(spark, path, multiline=False):
     )
 
 
-def bad_value_counts(spark, name, path, multiline=False):
+def bad_value_counts(spark, name, path, multiline=MULTILINE):
     """Rows (column_name, bad_values) of values present in the file that do not parse."""
-    raw = read_raw_csv(spark, path, multiline)
+    raw = read_raw_csv(spark, path, name in multiline)
     fields = SOURCES[name].fields
     require_columns(raw, [f.name for f in fields])
     counts = raw.agg(
@@ -66,10 +71,10 @@ def bad_value_counts(spark, name, path, multiline=False):
     return counts.unpivot([], [f.name for f in fields], "column_name", "bad_values")
 
 
-def read_staging(spark, paths, on_bad_value="fail", multiline=("reviews",)):
+def read_staging(spark, paths, on_bad_value="fail", multiline=MULTILINE):
     """All sources by logical name, each also a temporary view `raw_<name>`."""
     staging = {}
     for name, path in paths.items():
-        staging[name] = read_csv_source(spark, name, path, on_bad_value, name in multiline)
+        staging[name] = read_csv_source(spark, name, path, on_bad_value, multiline)
         staging[name].createOrReplaceTempView(f"raw_{name}")
     return staging

@@ -630,21 +630,23 @@ explained AS (
   FROM orders)"""
 
 
-def _displayed():
-    c = "explanation"
-    c = rf"regexp_replace({c}, '(?i)`*(【\s*(metric|row|warning|method):[^】]+】|\[\s*(metric|row|warning|method):[^\]]+\])`*', '', 'g')"
-    c = rf"regexp_replace({c}, '[ \t]+([,.;:!?])', '\1', 'g')"
-    c = rf"regexp_replace({c}, '[ \t]{{2,}}', ' ', 'g')"
-    c = rf"regexp_replace({c}, '\n{{3,}}', chr(10) || chr(10), 'g')"
-    for title in explain.SECTIONS:
-        c = (
-            rf"regexp_replace({c}, '(?im)^[ \t]*(#{{1,6}}[ \t]*)?(\*\*)?{title}(\*\*)?[ \t]*:?[ \t]*', "
-            f"'**{title}**' || chr(10) || chr(10), 'g')"
-        )
+def _displayed(explained=EXPLAINED):
+    """The texts cut into lines, each line shown on its own. Patterns are written out here."""
+    title = "(Direct answer|Key evidence|Business interpretation|Limitations)"
+    head = rf"'(?i)^[ \t]*(?:#{{1,6}}[ \t]*)?(?:\*\*)?{title}(?:\*\*)?[ \t]*:?[ \t]*'"
+    line = r"regexp_replace(l, '(?i)`*[\[【]\s*(?:metric|row|method|warning):[^\]】]+[\]】]`*', '', 'g')"
+    line = rf"regexp_replace(regexp_replace({line}, '[ \t]+([,.;:!?])', '\1', 'g'), '[ \t]{{2,}}', ' ', 'g')"
+    found = f"regexp_extract({line}, {head}, 1)"
+    named = f"upper({found}[1]) || lower({found}[2:])"
+    shown = (
+        f"CASE WHEN {found} <> '' THEN '**' || {named} || '**' || chr(10) || chr(10) || "
+        f"regexp_replace({line}, {head}, '') ELSE {line} END"
+    )
+    c = f"array_to_string(list_transform(string_split(explanation, chr(10)), lambda l: {shown}), chr(10))"
     c = rf"regexp_replace({c}, '\n{{3,}}', chr(10) || chr(10), 'g')"
     # A dollar that has its backslash keeps it; the others get one.
     escaped = rf"replace(replace(replace({c}, '\$', chr(1)), '$', '\$'), chr(1), '\$')"
-    return f"WITH {EXPLAINED.strip()}\nSELECT question_id, {escaped} AS shown FROM explained"
+    return f"WITH {explained.strip()}\nSELECT question_id, {escaped} AS shown FROM explained"
 
 
 def _citations():
@@ -799,37 +801,53 @@ def _union(parts):
     return "\nUNION ALL ".join(parts)
 
 
-def _column_counts():
-    return _on(
-        _union(
-            [
-                f"SELECT {i} AS position, '{n}' AS column_name, '{t}' AS database_type, "
-                f"count(*) - count({n}) AS null_count, "
-                f"round((count(*) - count({n})) / count(*) * 100, 2) AS null_percentage, "
-                f"count(DISTINCT {n}) AS unique_count, "
-                f"round(count(DISTINCT {n}) / count(*), 4) AS cardinality_ratio FROM oi"
-                for i, (n, t) in enumerate(TYPE_NAMES, 1)
-            ]
-        )
+def _count_rows():
+    return _union(
+        [
+            f"SELECT {i} AS position, '{n}' AS column_name, '{t}' AS database_type, "
+            f"count(*) - count({n}) AS null_count, "
+            f"round((count(*) - count({n})) / count(*) * 100, 2) AS null_percentage, "
+            f"count(DISTINCT {n}) AS unique_count, "
+            f"round(count(DISTINCT {n}) / count(*), 4) AS cardinality_ratio FROM oi"
+            for i, (n, t) in enumerate(TYPE_NAMES, 1)
+        ]
     )
 
 
+def _column_counts():
+    return _on(_count_rows())
+
+
 def _profile():
+    """All parts of the profile of every column, lists as texts."""
+    numbers = _union(
+        [
+            f"SELECT '{n}' AS column_name, CAST(min({n}) AS DOUBLE) AS least, "
+            f"CAST(max({n}) AS DOUBLE) AS most, round(avg({n}), 4) AS mean, "
+            f"CAST(median({n}) AS DOUBLE) AS median FROM oi"
+            for n in NUMERIC
+        ]
+    )
+    times = _union(
+        [
+            f"SELECT '{n}' AS column_name, CAST(min({n}) AS VARCHAR) AS first_time, "
+            f"CAST(max({n}) AS VARCHAR) AS last_time FROM oi"
+            for n in TEMPORAL
+        ]
+    )
+    listed = "SELECT column_name, string_agg({}, '|' ORDER BY rank) AS {} FROM ({}) GROUP BY 1"
+    samples = listed.format("value", "samples", _leading([n for n, _ in TYPE_NAMES], "value"))
+    common = listed.format(
+        "value || '=' || frequency", "common_values", _leading(CATEGORICAL, "frequency DESC, value")
+    )
     return _on(
-        _union(
-            [
-                f"SELECT '{n}' AS column_name, '{t}' AS database_type, "
-                f"count(*) - count({n}) AS null_count, count(DISTINCT {n}) AS unique_count, "
-                f"least(count(DISTINCT {n}), 5) AS samples, "
-                + (
-                    f"least(count(DISTINCT {n}), 5) AS common_values, FALSE"
-                    if n in CATEGORICAL
-                    else "0 AS common_values, TRUE"
-                )
-                + " AS has_statistics FROM oi"
-                for n, t in TYPE_NAMES
-            ]
-        )
+        "SELECT * FROM counts LEFT JOIN numbers USING (column_name) LEFT JOIN times USING "
+        "(column_name) LEFT JOIN samples USING (column_name) LEFT JOIN common USING (column_name)",
+        f"counts AS ({_count_rows()})",
+        f"numbers AS ({numbers})",
+        f"times AS ({times})",
+        f"samples AS ({samples})",
+        f"common AS ({common})",
     )
 
 
@@ -1013,6 +1031,15 @@ worst AS (SELECT customer_state AS s, * FROM ({_scorecard("per_order", "customer
             )
         ),
         "SRC2_staged_orders": _on("SELECT * FROM st_orders"),
+        "SRC2_staged_order_items": _on("SELECT * FROM st_items"),
+        "SRC2_staged_customers": _on("SELECT * FROM st_customers"),
+        "SRC2_staged_products": _on(
+            "SELECT product_id, category AS product_category_name FROM st_products"
+        ),
+        "SRC2_staged_reviews": _on("SELECT * FROM st_reviews"),
+        "SRC2_staged_category_translation": "SELECT DISTINCT p_type AS product_category_name, "
+        "lower(p_type) || '_goods' AS product_category_name_english FROM part "
+        "WHERE p_type IN ('ECONOMY', 'LARGE', 'PROMO', 'SMALL')",
         "SRC2_staged_payments": _on(
             "SELECT order_id, payment_type, payment_installments, payment_value FROM st_payments"
         ),
@@ -1037,6 +1064,7 @@ worst AS (SELECT customer_state AS s, * FROM ({_scorecard("per_order", "customer
             PER_ORDER,
         ),
         "M5_analytical_table": _on(f"SELECT {order_items} FROM oi"),
+        "M5_split_orders": _on(f"SELECT {order_items} FROM oi"),
         "A1_item_revenue": _on(
             "SELECT coalesce(round(sum(item_price), 2), 0) AS item_revenue FROM oi"
         ),
@@ -1140,6 +1168,29 @@ WHERE a.analysis_type = 'revenue_change_investigation'""",
                 ]
             )
         ),
+        "P2_dense_numbers": _union(
+            [
+                f"SELECT '{n}' AS column_name, CAST(min({e}) AS DOUBLE) AS minimum, "
+                f"CAST(max({e}) AS DOUBLE) AS maximum, {m} AS median FROM lineitem"
+                for n, e, m in (
+                    ("far_id", "1000000000000 + l_orderkey", "1000000000000 + median(l_orderkey)"),
+                    ("share", "l_tax / 1e6", "median(l_tax / 1e6)"),
+                    ("below_zero", "-l_orderkey", "-median(l_orderkey)"),
+                    (
+                        "exact",
+                        "CAST(l_extendedprice AS DECIMAL(18,2))",
+                        "median(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE))",
+                    ),
+                    (
+                        "gaps",
+                        "CASE WHEN l_orderkey % 7 = 0 THEN CAST('nan' AS DOUBLE) "
+                        "WHEN l_orderkey % 11 = 0 THEN CAST('-inf' AS DOUBLE) ELSE l_quantity END",
+                        "median(CASE WHEN l_orderkey % 7 = 0 THEN CAST('nan' AS DOUBLE) "
+                        "WHEN l_orderkey % 11 = 0 THEN CAST('-inf' AS DOUBLE) ELSE l_quantity END)",
+                    ),
+                )
+            ]
+        ),
         "P3_temporal_statistics": _on(
             _union(
                 [
@@ -1162,6 +1213,25 @@ WHERE a.analysis_type = 'revenue_change_investigation'""",
         "S4_role_counts": "SELECT semantic_role, count(*) AS columns FROM (VALUES "
         + ", ".join(f"('{REGISTRY[n]['semantic_role']}')" for n, _ in TYPE_NAMES)
         + ") AS t(semantic_role) GROUP BY semantic_role",
+        "S3_table_metadata": _on(
+            "SELECT 'order_items' AS table_name, count(*) AS row_count, 31 AS column_count, "
+            "'One row is one purchased item of an order.' AS table_grain, "
+            "'order_id,order_item_id' AS grain_key_columns, 3 AS rules FROM oi"
+        ),
+        "S4_warnings": "SELECT * FROM (VALUES "
+        + ", ".join(
+            f"('{n}', 'Repeats on every item row of an order; take one value per order first.')"
+            for n in (
+                "total_payment_value max_payment_installments payment_record_count "
+                "average_review_score review_count delivery_days estimated_delivery_days "
+                "delivery_delay_days is_late_delivery"
+            ).split()
+        )
+        + ") AS t(column_name, warning)",
+        "S5_fallback_aggregations": "SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, "
+        "round(100.0 * count(*) FILTER (l_tax > 0.04) / count(*), 2) AS taxed, "
+        "round(avg(l_quantity), 2) AS quantity, median(l_quantity) AS middle, "
+        "max(l_shipdate) AS last_shipped FROM lineitem GROUP BY l_returnflag",
         "S5_payment_value_by_state": _on(
             """
 SELECT customer_state, round(sum(v), 2) AS value FROM (

@@ -102,6 +102,25 @@ def test_an_order_with_very_many_items_is_spread(spark, staged, built):
     assert spread.exceptAll(plain).count() == 0
 
 
+def test_every_hot_order_is_split(spark, staged):
+    """120 orders of 100 items each: all are found, spread and joined, none is left whole."""
+    items = staged["order_items"].filter("order_item_id IS NOT NULL").limit(50)
+    wide = items.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(239))))
+    orders = [r.order_id for r in staged["orders"].select("order_id").distinct().limit(120).collect()]
+    number = F.pmod(F.xxhash64("order_item_id", "n"), F.lit(120)).cast("int")
+    hot = wide.withColumn("order_id", F.get(F.array(*[F.lit(o) for o in orders]), number)).drop("n")
+    hot.write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/many_hot_items")
+    hot = spark.read.parquet(path)
+    keys = skew.hot_keys(hot, "order_id", 20)
+    assert keys.count() == 120
+    salts = skew.salt_rows(hot, keys, "order_id").groupBy("order_id").agg(F.count_distinct(skew.SALT).alias("n"))
+    assert salts.filter("n < 2").count() == 0
+    changed = {**staged, "order_items": hot}
+    spread, plain = (model.build_order_items(changed, n) for n in (20, 10**9))
+    assert spread.count() == plain.count() == 12000
+    assert spread.exceptAll(plain).count() == 0
+
+
 def test_stored_table_reads_back_and_prunes_months(spark, built, tmp_path):
     path = str(tmp_path / "order_items")
     tables.write_order_items(built, path)
@@ -135,15 +154,17 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     path.write_text(
         'review_id,review_score,comment,order_id\nr1,5,"two\nlines, ""quoted""",o1\nr2,bad,,o2\n'
     )
-    df = staging.read_csv_source(spark, "reviews", str(path), "null", multiline=True)
+    df = staging.read_csv_source(spark, "reviews", str(path), "null")
     assert sorted(map(tuple, df.collect())) == [("o1", 5), ("o2", None)]
-    counts = staging.bad_value_counts(spark, "reviews", str(path), multiline=True)
+    counts = staging.bad_value_counts(spark, "reviews", str(path))
     assert {r.column_name: r.bad_values for r in counts.collect()} == {
         "order_id": 0,
         "review_score": 1,
     }
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        staging.read_csv_source(spark, "reviews", str(path), multiline=True).collect()
+        staging.read_csv_source(spark, "reviews", str(path)).collect()
+    split = staging.read_csv_source(spark, "reviews", str(path), "null", multiline=())
+    assert split.count() == 3
     path.write_text("order_id\no1\n")
     with pytest.raises(ValueError, match="review_score"):
         staging.read_csv_source(spark, "reviews", str(path))

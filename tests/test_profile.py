@@ -1,3 +1,4 @@
+import decimal
 import math
 import statistics
 
@@ -26,6 +27,45 @@ def test_median_is_exact(spark, rows):
         assert math.isclose(r["median"], expected[r.k], rel_tol=1e-12, abs_tol=1e-300)
 
 
+HARD = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 0.9999999999999999,
+        1.0000000000000002, -1.0, 2.0**52, 2.0**52 + 1, 1.7976931348623157e308, -1.7976931348623157e308,
+        8.0, 7.999999999999999, 1e-300, 3.0, float("inf"), float("-inf"), 0.1, 1e15 + 0.5]
+
+
+def test_codes_order_numbers(spark):
+    """All neighbours of powers of two, subnormals, infinities and a NaN keep their order."""
+    numbers = set(HARD) | {x * (2.0**k) for k in range(-1070, 1020, 7) for x in (1.0, 1 + 2**-52, 2 - 2**-52)}
+    df = spark.createDataFrame([(x,) for x in [*numbers, math.nan]], "v double")
+    code = median.sort_code(F.col("v"), df.schema["v"].dataType)
+    rows = [(r.v, r.code) for r in df.select("v", code.alias("code")).collect()]
+    (largest,) = [c for v, c in rows if math.isnan(v)]
+    rows = sorted((v, c) for v, c in rows if not math.isnan(v))
+    for (a, x), (b, y) in zip(rows, rows[1:], strict=False):
+        assert (x < y) == (a < b), (a, b, x, y)
+    assert largest > rows[-1][1]
+
+
+@pytest.mark.parametrize("kind, make", [
+    ("bigint", lambda i: 10**12 + i * 3), ("bigint", lambda i: 2**62 + i), ("double", lambda i: i * 1e-9),
+    ("decimal(18,4)", lambda i: decimal.Decimal(i) / 10000), ("int", lambda i: -i),
+])
+def test_dense_numbers_do_not_share_a_counter(spark, kind, make):
+    values = [make(i * i % 5003) for i in range(3001)]
+    df = spark.createDataFrame([(v,) for v in values], f"v {kind}")
+    (row,) = profile.numeric_statistics(df).collect()
+    assert row["median"] == float(sorted(values)[1500])
+    codes = median.value_counts(df, [], "v").select("code").distinct().count()
+    assert codes == len(set(values))
+
+
+def test_not_a_number_is_the_largest(spark):
+    df = spark.createDataFrame([(x, 1) for x in (1.0, 2.0, math.nan, math.nan, math.inf)], "v double, n int")
+    rows = {r.column_name: r for r in profile.numeric_statistics(df).collect()}
+    assert rows["v"]["median"] == math.inf and math.isnan(rows["v"].maximum)
+    shown = {r.column_name: r for r in profile.profile_table(df).collect()}
+    assert shown["v"].unique_count == 4
+
+
 def test_profile(spark):
     df = spark.createDataFrame(
         [(1, "x", True, 0.0), (2, "x", None, -0.0), (4, "y", False, None), (9, None, True, 1.5)],
@@ -89,6 +129,15 @@ def test_governed_aggregation(spark):
     assert value("delivery_days", "median") == 8.5
     assert value("delivery_days", "maximum", by=["customer_state"]) == {"CA": 10, "TX": 15, "NY": 20}
     assert value("seller_id") == 3
+    extra = table.withColumns({"gift": F.col("delivery_days") > 9, "weight": F.col("delivery_days") * 1.5})
+    rows = semantic.aggregate_metric(extra.drop("order_id"), "gift").collect()
+    assert rows[0].value == pytest.approx(100 * extra.filter("gift").count() / extra.filter("gift IS NOT NULL").count(), abs=0.01)
+    middle = semantic.aggregate_metric(extra, "weight", "median", by=["customer_state"]).collect()
+    assert {r.customer_state for r in middle} == {"CA", "TX", "NY"}
+    with pytest.raises(ValueError, match="Cannot group"):
+        semantic.aggregate_metric(extra, "weight", by=["gift"])
+    with pytest.raises(ValueError):
+        semantic.aggregate_metric(extra, "weight", "sum")
     for bad in [("delivery_days", "sum"), ("average_review_score", "median"), ("nothing", None)]:
         with pytest.raises(ValueError):
             value(*bad)

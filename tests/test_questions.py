@@ -85,7 +85,7 @@ def test_explanations(spark, answers):
     for r in rows:
         if r.supported:
             assert r.explanation is None
-            assert r.prompt.startswith(f"Original business question:\n\n{r.question}")
+            assert r.prompt.startswith(f"Question asked:\n\n{r.question}")
             assert '"analysis_type" : "' + r.analysis_type in r.prompt
         else:
             assert r.prompt is None
