@@ -146,8 +146,10 @@ def settled_regions(found, keep_first):
     same = Window.partitionBy("anchor", "region").orderBy("key", "variant", "start")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     group = Window.partitionBy("anchor")
+    # One exchange by anchor serves both kinds of windows.
     regions_before = (
-        found.withColumn("number", F.row_number().over(same))
+        found.repartition("anchor")
+        .withColumn("number", F.row_number().over(same))
         .withColumn("leader", F.first(name).over(whole))
         .withColumn("trailer", F.last(name).over(whole))
         .withColumn("new", ((F.col("kind") == 0) & (F.col("number") == 1)).cast("long"))
