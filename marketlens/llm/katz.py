@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 MIN_PAIR = 2
 #: Counts up to this are discounted.
 K = 5
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 500_000
 SLICE_BYTES = 4 << 20
 #: Bytes of text per range of n-grams, and per range of contexts.
 RANGE_BYTES = 12 << 20
