@@ -359,13 +359,26 @@ def _evidence_metrics(handler):
     return query
 
 
+def _evidence_records(spark, folder):
+    """Everything that the evidence of each analysis says in words."""
+    records = evidence_inputs(spark, folder).evidence
+    methods = F.array_sort(F.transform(F.map_entries("methodology"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return records.select(
+        "analysis_type",
+        F.date_format("target_month", "yyyy-MM").alias("month"),
+        "summary",
+        F.array_join(methods, "|").alias("methods"),
+        F.array_join("warnings", "|").alias("warnings"),
+    )
+
+
 def _evidence_rows(spark, folder):
     """The supporting rows of every analysis, numbered from 1."""
 
     def field(*names):
         return F.coalesce(*[F.get_json_object("record", f"$.{name}") for name in names])
 
-    rows = evidence.all_evidence(evidence_inputs(spark, folder)).select(
+    rows = evidence_inputs(spark, folder).evidence.select(
         "analysis_type",
         F.date_format("target_month", "yyyy-MM").alias("month"),
         F.posexplode("supporting_rows").alias("position", "record"),
@@ -613,6 +626,7 @@ def _own_queries():
         "EV7_late_versus_on_time": _evidence_metrics(evidence.late_versus_on_time),
         "EV8_target_months": _target_months,
         "EV9_investigation": _evidence_metrics(evidence.revenue_change_investigation),
+        "EV3_EV9_records": _evidence_records,
         "EV10_EX1_unsupported": _unsupported,
         "EV11_answers": _answer_rows,
         "EV12_supporting_rows": _evidence_rows,

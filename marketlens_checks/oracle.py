@@ -747,7 +747,9 @@ def _resolved():
         """
 SELECT conv_id, turn, question, resolved_question, analysis_type, answered,
   question <> resolved_question AS was_rewritten
-FROM chain WHERE k > 0""",
+FROM chain WHERE k > 0
+UNION ALL SELECT conv_id, turn, trim(question), trim(question), 'unsupported', FALSE, FALSE
+FROM q WHERE trim(question) = ''""",
         _months(100),
         COMPONENTS,
         MONTH_KEYS,
@@ -789,6 +791,140 @@ chain AS (
     )
 
 
+# --- whole evidence records -----------------------------------------------------------------
+
+# Literal, so that a wrong word in the library shows: (method entries, warnings) by analysis.
+RECORD_TEXTS = {
+    "core_kpis": (
+        "order_count_calculation=COUNT(DISTINCT order_id)|order_level_metrics=reviews and delivery "
+        "are taken once per order|revenue_calculation=SUM(item_price)|table_grain=one row per order item",
+        "Item revenue leaves out freight and is not profit.|Without product cost there is no margin.",
+    ),
+    "monthly_revenue_trend": (
+        "grain=calendar month|growth_method=(current month - previous month) / previous month|"
+        "metric=SUM(item_price)|minimum_order_count_per_month=100",
+        "Months with fewer than 100 orders count as incomplete and are left out.|"
+        "That minimum suits this data and is no general standard.",
+    ),
+    "revenue_by_category": (
+        "grain=order item|grouping_dimension=product_category|metric=SUM(item_price)|"
+        "ranking=item_revenue descending|returned_categories=10",
+        "Revenue is not profit; product cost is unknown.",
+    ),
+    "revenue_by_state": (
+        "grain=order item|grouping_dimension=customer_state|metric=SUM(item_price)|"
+        "ranking=item_revenue descending|returned_states=10",
+        "Where customers live goes along with revenue but does not explain it.",
+    ),
+    "delivery_by_state": (
+        "grain=one row per order|grouping_dimension=customer_state|minimum_order_count=100|"
+        "ranking_metric=late_delivery_rate_percentage descending",
+        "States with fewer than 100 orders are not ranked.|"
+        "Where an order goes is linked to delays but is not shown to cause them.",
+    ),
+    "late_vs_on_time": (
+        "comparison_groups=late, on_time|grain=one row per order|"
+        "review_metric=average review score among reviewed orders",
+        "The gap is an association; lateness is not shown to cause it.|"
+        "Only orders with a review enter the average scores.",
+    ),
+    "revenue_change_investigation": (
+        "average_order_value_metric=item revenue divided by distinct orders|"
+        "category_decomposition=change of item revenue by product category|"
+        "comparison_grain=complete calendar month|minimum_order_count_per_month=100|"
+        "order_volume_metric=COUNT(DISTINCT order_id)|revenue_metric=SUM(item_price)|"
+        "state_decomposition=change of item revenue by customer state",
+        "The listed contributors describe the change and do not prove its cause.|"
+        "Order count and average order value are linked; their changes do not add up to the revenue "
+        "change.|Revenue leaves out freight and is not profit.",
+    ),
+    "unsupported": (
+        "",
+        "Supported topics are the core KPIs, monthly revenue and the causes of its changes, revenue "
+        "by category or state, delivery by state, and reviews of late and on-time orders.",
+    ),
+}
+
+
+def _records():
+    """Summary, methods and warnings of every evidence record, in words."""
+
+    def money(c):
+        return f"format('{{:,.2f}}', CAST({c} AS DOUBLE))"
+
+    def two(c):
+        return f"format('{{:.2f}}', CAST({c} AS DOUBLE))"
+
+    def number(c):
+        return f"format('{{:,}}', CAST({c} AS BIGINT))"
+
+    def word(c, up, down, same):
+        return f"CASE WHEN {c} > 0 THEN '{up}' WHEN {c} < 0 THEN '{down}' ELSE '{same}' END"
+
+    def month(c):
+        return f"strftime({c}, '%Y-%m')"
+
+    change = "revenue_change_percentage"
+    orders, value = "order_count_change_percentage", "average_order_value_change_percentage"
+
+    def leader(analysis, dimension):
+        return f"""
+SELECT '{analysis}', NULL, (SELECT {dimension} || ' had the most item revenue with ' || {money("r")}
+  || ', ' || {two("s")} || '% of the total.' FROM (
+    SELECT {dimension}, r, round(100.0 * r / sum(r) OVER (), 2) AS s FROM (
+      SELECT {dimension}, round(sum(item_price), 2) AS r FROM oi
+      WHERE {dimension} IS NOT NULL GROUP BY 1)) ORDER BY r DESC, {dimension} LIMIT 1)"""
+
+    summaries = [
+        f"""
+SELECT 'core_kpis' AS analysis_type, CAST(NULL AS VARCHAR) AS month, 'Item revenue was '
+  || {money("item_revenue")} || ' over ' || {number("order_count")}
+  || ' orders; the average order value was ' || {money("average_order_value")} || '.' AS summary
+FROM kpis""",
+        f"""
+SELECT 'monthly_revenue_trend', NULL, (SELECT 'Item revenue ' || {word(change, "increased", "decreased", "remained unchanged")}
+  || ' by ' || {two(f"abs({change})")} || '% from ' || {month("previous_month_start")} || ' to '
+  || {month("purchase_month_start")} || '; the latest complete month had ' || {money("item_revenue")}
+  || ' over ' || {number("order_count")} || ' orders.'
+  FROM components ORDER BY purchase_month_start DESC LIMIT 1)""",
+        leader("revenue_by_category", "product_category"),
+        leader("revenue_by_state", "customer_state"),
+        f"""
+SELECT 'delivery_by_state', NULL, (SELECT 'Of the states with enough orders, ' || customer_state
+  || ' had the most late deliveries: ' || {two("late_delivery_rate_percentage")} || '% of '
+  || {number("order_count")} || ' orders.' FROM ({_scorecard("per_order", "customer_state", 100)}) LIMIT 1)""",
+        f"""
+SELECT 'late_vs_on_time', NULL, 'Late orders were reviewed at ' || {two("ls")}
+  || ' on average and on-time orders at ' || {two("ts")} || ', a gap of ' || {two("round(ts - ls, 2)")}
+  || ' points.' FROM pair""",
+        f"""
+SELECT 'revenue_change_investigation', {month("purchase_month_start")}, 'Item revenue '
+  || {word("revenue_change_amount", "increased", "decreased", "did not change")} || ' by '
+  || {two(f"abs({change})")} || '% from ' || {month("previous_month_start")} || ' to '
+  || {month("purchase_month_start")} || ', by ' || {money("revenue_change_amount")}
+  || '. Orders changed by ' || {two(orders)} || '% and the average order value by ' || {two(value)}
+  || '%; the larger relative movement was in ' || CASE WHEN abs({orders}) >= abs({value})
+    THEN 'order volume' ELSE 'average order value' END || '.'
+FROM components WHERE previous_month_start IS NOT NULL""",
+        "SELECT 'unsupported', NULL, 'This question is not supported by the available analyses.'",
+    ]
+    texts = ", ".join(
+        f"({_text(k)}, {_text(methods)}, {_text(warnings)})"
+        for k, (methods, warnings) in RECORD_TEXTS.items()
+    )
+    return _on(
+        "SELECT analysis_type, month, summary, methods, warnings FROM told JOIN texts USING (analysis_type)",
+        PER_ORDER,
+        KPIS,
+        _months(100),
+        COMPONENTS,
+        LATE_GROUPS,
+        LATE_PAIR,
+        f"told AS ({_union(summaries)})",
+        f"texts(analysis_type, methods, warnings) AS (VALUES {texts})",
+    )
+
+
 # --- profile --------------------------------------------------------------------------------
 
 TYPE_NAMES = [(f.name, f.dataType.simpleString()) for f in ORDER_ITEMS.fields]
@@ -1334,6 +1470,7 @@ facts AS (
   FROM components c JOIN leaders l ON l.target_month = c.purchase_month_start
   WHERE c.previous_month_start IS NOT NULL)""",
         ),
+        "EV3_EV9_records": _records(),
         "EV10_EX1_unsupported": _unsupported(),
         "EV11_answers": _answers_with(
             f"""
