@@ -85,6 +85,17 @@ def order_items(spark, folder):
     )
 
 
+def orders_table(spark, folder):
+    """The stored order-grain table of a data folder."""
+    return _once(
+        spark,
+        folder,
+        "orders",
+        lambda path: tables.write_orders(order_items(spark, folder), path),
+        lambda path: spark.read.parquet(path),
+    )
+
+
 def _csv_folder(spark, folder):
     def write(path):
         for name, df in adapter.staging_from_star_schema(spark, folder).items():
@@ -141,6 +152,10 @@ def _on_table(function, *args, **kwargs):
     return lambda spark, folder: function(order_items(spark, folder), *args, **kwargs)
 
 
+def _on_orders(function):
+    return lambda spark, folder: function(orders_table(spark, folder))
+
+
 def _raw_lineitem(spark, folder):
     """Lineitem as an order-item table whose line numbers repeat: the grain check has to fail."""
     return spark.read.parquet(f"{folder}/lineitem.parquet").select(
@@ -546,10 +561,10 @@ def _own_queries():
         "A1_item_revenue": _on_table(metrics.item_revenue),
         "A2_freight_value": _on_table(metrics.freight_value),
         "A3_order_count": _on_table(metrics.order_count),
-        "A4_average_order_value": _on_table(metrics.average_order_value),
-        "A5_late_delivery_rate": _on_table(metrics.late_delivery_rate),
-        "A6_average_review_score": _on_table(metrics.average_review_score),
-        "A7_business_kpis": _on_table(metrics.business_kpis),
+        "A4_average_order_value": _on_orders(metrics.average_order_value),
+        "A5_late_delivery_rate": _on_orders(metrics.late_delivery_rate),
+        "A6_average_review_score": _on_orders(metrics.average_review_score),
+        "A7_business_kpis": _on_orders(metrics.business_kpis),
         "A8_monthly_revenue_trend": _on_table(metrics.monthly_revenue_trend),
         "A9_revenue_by_category": _on_table(revenue.revenue_by_category),
         "A10_revenue_by_state": _on_table(revenue.revenue_by_state),
@@ -557,11 +572,11 @@ def _own_queries():
         "A12_bottom_revenue_categories": _on_table(revenue.bottom_revenue_categories, 5),
         "A13_complete_monthly_revenue": _on_table(revenue.complete_monthly_revenue),
         "A14_largest_monthly_changes": _on_table(revenue.largest_monthly_revenue_changes),
-        "A15_delivery_by_state": _on_table(delivery.delivery_by_state),
+        "A15_delivery_by_state": _on_orders(delivery.delivery_by_state),
         "A16_delivery_by_category": _on_table(delivery.delivery_by_category),
         "A17_worst_delivery_sellers": _on_table(delivery.worst_delivery_sellers),
-        "A18_late_vs_on_time": _on_table(delivery.late_and_on_time_orders),
-        "A19_delivery_review_relationship": _on_table(delivery.delivery_review_relationship),
+        "A18_late_vs_on_time": _on_orders(delivery.late_and_on_time_orders),
+        "A19_delivery_review_relationship": _on_orders(delivery.delivery_review_relationship),
         "A20_state_overview": _on_table(delivery.state_overview),
         "A21_monthly_components": _on_table(
             lambda df: investigate.monthly_revenue_components(df).drop("previous_month_start")

@@ -1,5 +1,6 @@
 """Grain-safe reduction: one row per unit (an order, an order and seller, ...)."""
 
+from marketlens.functions.columns import money_sum
 from pyspark.sql import functions as F
 
 # How a value that repeats on every item row of an order becomes one value of the unit.
@@ -12,8 +13,31 @@ REPEATED = {
 }
 
 
+def orders_of(df):
+    """The order-grain table of an order-item table: what the order-level analyses need.
+
+    It takes the place of the items in those analyses, which then shuffle nothing by order.
+    """
+    return reduce_to(
+        df,
+        ["order_id"],
+        REPEATED,
+        revenue=money_sum("item_price"),
+        freight=money_sum("freight_value"),
+    )
+
+
+def at_order_grain(df):
+    return "order_item_id" not in df.columns and "revenue" in df.columns
+
+
 def reduce_to(df, keys, repeated=(), **measures):
-    """One row per `keys`: the named repeated columns, plus further aggregates by name."""
+    """One row per `keys`: the named repeated columns, plus further aggregates by name.
+
+    A table of `orders_of` has one row per order already; its columns are only selected.
+    """
+    if list(keys) == ["order_id"] and at_order_grain(df):
+        return df.select("order_id", *repeated, *measures)
     aggregates = [REPEATED[name](name).alias(name) for name in repeated]
     aggregates += [expression.alias(name) for name, expression in measures.items()]
     return df.groupBy(*keys).agg(*aggregates)

@@ -4,6 +4,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from marketlens.operators.model import build_order_items
+from marketlens.operators.reduce import orders_of
 from marketlens.schema import ORDER_ITEMS
 from marketlens.sources.staging import read_staging, required_files
 
@@ -22,6 +23,11 @@ def write_order_items(df, path):
     )
 
 
+def write_orders(items, path):
+    """Replace the order-grain table at `path` with that of an order-item table."""
+    orders_of(items).write.mode("overwrite").parquet(path)
+
+
 def read_order_items(spark, path):
     """The stored table; an error that says so if it was never built."""
     try:

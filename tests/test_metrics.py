@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from marketlens.plans import metrics
 from tests.fixtures import JAN, FEB, metrics_table
@@ -56,3 +57,21 @@ def test_kpis_read_the_table_once_and_only_what_they_need(spark, table, tmp_path
     text = plan.toString()
     assert text.count("FileScan") == 1
     assert "purchase_month_start" not in text
+
+
+def test_an_order_grain_table_gives_the_same(spark):
+    from marketlens.operators.reduce import orders_of
+    from marketlens.plans import delivery
+    from tests.fixtures import delivery_table
+
+    items = delivery_table(spark).withColumns({"item_price": F.lit(2.5), "freight_value": F.lit(1.0), "order_item_id": F.lit(1)})
+    orders = orders_of(items)
+    for function in (
+        metrics.average_order_value, metrics.late_delivery_rate, metrics.average_review_score,
+        metrics.business_kpis, delivery.late_and_on_time_orders, delivery.delivery_review_relationship,
+        lambda df: delivery.delivery_by_state(df, 1),
+    ):
+        found = function(orders)
+        assert found.collect() == function(items).collect()
+    plan = metrics.business_kpis(spark.createDataFrame(orders.collect(), orders.schema))
+    assert "hashpartitioning(order_id" not in plan._jdf.queryExecution().executedPlan().toString()
