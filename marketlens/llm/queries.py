@@ -149,3 +149,89 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 ORACLE_SQL = {"op1_warc": _WARC_SQL, "op2_decontamination": _DECONTAMINATION_SQL}
+
+# Bytes as pairs of hexadecimal digits; a byte is covered if the last repeated string that has
+# begun reaches it.
+_SUFFIX_SQL = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n
+    FROM documents
+), windows AS (
+    SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS part
+    FROM d, LATERAL unnest(range(n - 99)) AS t(i) WHERE n >= 100
+), repeated AS (
+    SELECT doc_id, i FROM (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY part ORDER BY doc_id, i) AS k FROM windows)
+    WHERE k > 1
+), bytes AS (
+    SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS digits FROM d, LATERAL unnest(range(n)) AS t(p)
+), marked AS (
+    SELECT b.doc_id, p, digits, coalesce(p - max(r.i) OVER (PARTITION BY b.doc_id ORDER BY p) < 100, FALSE) AS gone
+    FROM bytes b LEFT JOIN repeated r ON r.doc_id = b.doc_id AND r.i = b.p
+), spans AS (
+    SELECT *, gone AND NOT lag(gone, 1, FALSE) OVER (PARTITION BY doc_id ORDER BY p) AS begins FROM marked
+), kept AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+           string_agg(digits, '' ORDER BY p) FILTER (NOT gone) AS digits
+    FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(digits, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_FM_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT doc_id, i, md5_number(array_to_string(words[i + 1 : i + 35], ' ')) AS part
+    FROM d, LATERAL unnest(range(len(words) - 34)) AS t(i) WHERE len(words) >= 35
+), repeated AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY part) AS k FROM windows) WHERE k > 1
+), places AS (
+    SELECT doc_id, p, words[p + 1] AS word FROM d, LATERAL unnest(range(len(words))) AS t(p)
+), marked AS (
+    SELECT b.doc_id, p, word, coalesce(p - max(r.i) OVER (PARTITION BY b.doc_id ORDER BY p) < 35, FALSE) AS gone
+    FROM places b LEFT JOIN repeated r ON r.doc_id = b.doc_id AND r.i = b.p
+), kept AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept
+    FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), named AS (
+    SELECT *, CASE WHEN len(words) = 0 THEN 'text ' || text ELSE 'words ' || array_to_string(words, ' ') END AS content
+    FROM d
+), twins AS (
+    SELECT doc_id, words, min(doc_id) OVER (PARTITION BY content) AS twin_id FROM named
+), shingles AS (
+    SELECT doc_id, md5_number(array_to_string(words[i + 1 : i + 5], ' ')) AS part, count(*) AS n
+    FROM twins, LATERAL unnest(range(greatest(len(words) - 4, 1))) AS t(i)
+    WHERE len(words) > 0 AND doc_id = twin_id GROUP BY ALL
+), sizes AS (SELECT doc_id, sum(n) AS size FROM shingles GROUP BY doc_id),
+links AS (
+    SELECT a, b FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS shared
+        FROM shingles x JOIN shingles y ON x.part = y.part AND x.doc_id <> y.doc_id GROUP BY ALL)
+    JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+    WHERE 10 * shared >= 8 * (s.size + t.size - shared)
+), reached(a, b) AS (
+    SELECT doc_id, doc_id FROM twins WHERE doc_id = twin_id
+    UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), classes AS (SELECT a, min(b) AS class_id FROM reached GROUP BY a)
+SELECT doc_id, class_id, twin_id FROM twins JOIN classes ON a = twin_id
+"""
+
+ORACLE_SQL |= {
+    "op3_suffix_dedup": _SUFFIX_SQL,
+    "op4_near_duplicates": _NEAR_SQL,
+    "op10_fm_dedup": _FM_SQL,
+}
