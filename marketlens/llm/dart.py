@@ -31,6 +31,8 @@ SLICE_BYTES = 1 << 20
 CELLS = 400_000
 #: Texts compared with the same one in a row.
 PARTNERS = 1000
+#: Texts of a block, where all texts of some buckets are compared.
+BLOCK_TEXTS = 400
 
 _U = np.uint64
 #: P(X <= k) of a Poisson variable with mean 1, as 32-bit thresholds.
@@ -221,7 +223,8 @@ def _similar(pairs, texts, shingle, least):
     heads = dealt.select("a", "group").distinct()
     heads = heads.select("a", "group", F.lit(0).alias("role"), F.col("a").alias("doc"))
     named = texts.select(F.struct("key", "variant").alias("doc"), "text")
-    asked = members.unionByName(heads).join(named, "doc").repartition("a", "group")
+    # Texts are many and asked ones may be, so both sides are always shuffled.
+    asked = members.unionByName(heads).join(named.hint("merge"), "doc").repartition("a", "group")
     near = asked.sortWithinPartitions("a", "group", "role").select("a", "group", "role", "doc", "text")
 
     def check(batches):
@@ -263,7 +266,7 @@ def near_classes(texts, leaders, shingle=SHINGLE, least=SIMILARITY, rows=ROWS, b
 
     Texts in the same band bucket are candidates. First every text is compared with the first of
     its buckets, one pair per text and bucket at most. What is then connected needs no further
-    comparison; the buckets that still hold several classes are compared across these classes.
+    comparison; the texts of buckets that still hold several classes are compared across these.
     """
     bucketed = _band_rows(texts, shingle, rows, bands).join(leaders, "doc", "left_semi")
     buckets = stored(bucketed, "bands")
@@ -285,17 +288,105 @@ def near_classes(texts, leaders, shingle=SHINGLE, least=SIMILARITY, rows=ROWS, b
         .select("band")
     )
     unsettled = stored(labelled.join(several, "band").select("band", "doc", "label"), "unsettled")
-    one = unsettled.select("band", F.col("doc").alias("a"), F.col("label").alias("label_a"))
-    other = unsettled.select("band", F.col("doc").alias("b"), F.col("label").alias("label_b"))
-    across = one.join(other, "band").filter("label_a < label_b").select("a", "b").distinct()
-    known = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = stored(across.join(known, ["a", "b"], "left_anti"), "pairs")
-    if rest.isEmpty():
-        return classes
-    more = stored(_similar(rest, texts, shingle, least), "similar")
+    more = stored(_across_classes(unsettled, texts, shingle, least), "similar")
     return classes if more.isEmpty() else components(links.unionByName(more))
 
 
+def _across_classes(unsettled, texts, shingle, least):
+    """Links between different classes, of texts in the same buckets (band, doc, label).
+
+    Buckets that share texts form a group. All texts of a group are compared, in blocks: a task
+    gets two blocks of at most about BLOCK_TEXTS texts, adds up what each pair shares over an
+    index of shingles, and returns a link for each pair of classes that it finds connected. So
+    the rows that are made are texts and links, never pairs to be looked at.
+    """
+    firsts = unsettled.groupBy("band").agg(F.min("doc").alias("b"))
+    edges = unsettled.join(firsts, "band").select(F.col("doc").alias("a"), "b")
+    group_of = components(edges).select(F.col("node").alias("doc"), F.col("label").alias("group"))
+    members = unsettled.select("doc", "label").distinct().join(group_of, "doc")
+    n = F.count(F.lit(1)).over(Window.partitionBy("group"))
+    blocks = members.withColumn("blocks", (1 + F.floor((n - 1) / BLOCK_TEXTS)).cast("int"))
+    dealt = blocks.withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    # Groups that meet in a task by chance would only be compared for nothing.
+    task = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
+    asked = dealt.select(task.alias("task"), "own", (F.col("own") == F.col("other")).alias("alone"), "label", "doc")
+    named = texts.select(F.struct("key", "variant").alias("doc"), "text")
+    near = (
+        asked.join(named.hint("merge"), "doc")
+        .select("task", "own", "alone", "label.key", "label.variant", "doc", "text")
+        .repartition("task")
+        .sortWithinPartitions("task")
+    )
+
+    def compare(batches):
+        for rows in _tasks(batches):
+            one, other = _linked(rows, shingle, least)
+            docs = rows.column(5)
+            yield pa.RecordBatch.from_arrays(
+                [docs.take(pa.array(one)).combine_chunks(), docs.take(pa.array(other)).combine_chunks()],
+                ["a", "b"],
+            )
+
+    kind = "struct<key: long, variant: long>"
+    return near.mapInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _tasks(batches):
+    """Tables of the rows of one task each, of batches sorted by task."""
+    held = []
+    for batch in batches:
+        table = pa.Table.from_batches([*held, batch])
+        task = table.column(0).to_numpy()
+        cuts = np.flatnonzero(task[1:] != task[:-1]) + 1
+        for a, b in zip(np.append(0, cuts), cuts, strict=False):
+            yield table.slice(a, b - a)
+        held = table.slice(cuts[-1] if len(cuts) else 0).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _linked(rows, shingle, least):
+    """Rows (one, other) of a task whose texts are alike, one pair for two classes at most."""
+    own, alone = rows.column(1).to_numpy(), rows.column(2).to_numpy()[0]
+    _, label = np.unique(
+        np.stack([rows.column(i).to_numpy() for i in (3, 4)]), axis=1, return_inverse=True
+    )
+    units, texts, at = [], [], 0
+    for batch in rows.to_batches():
+        for part, data, offsets in _of_slices([batch], 6, SLICE_BYTES):
+            element, weight, text = shingles(data, offsets, shingle)
+            # A shingle that occurs k times is k things to share.
+            number = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+            units.append(mixed(np.repeat(element, weight) + _U(0x9FB21C651E98DF25) * number.astype(_U)))
+            texts.append(at + np.repeat(text, weight))
+            at += part.num_rows
+    unit, text = np.concatenate(units), np.concatenate(texts)
+    size = np.bincount(text, minlength=at)
+    order = np.lexsort((text, unit))
+    unit, text = unit[order], text[order]
+    shared = np.zeros(at * at, np.int32)
+    # Occurrences of a shingle that are `step` places apart, for all shingles at once.
+    rest = np.arange(len(unit))
+    step = 1
+    while len(rest):
+        rest = rest[rest + step < len(unit)]
+        rest = rest[unit[rest] == unit[rest + step]]
+        np.add.at(shared, text[rest] * at + text[rest + step], 1)
+        step += 1
+    one, other = np.divmod(np.flatnonzero(shared), at)
+    both = shared[one * at + other]
+    either = size[one] + size[other] - both
+    alike = (both * 10**6 >= round(least * 10**6) * either) & (label[one] != label[other])
+    if not alone:
+        alike &= own[one] != own[other]
+    one, other = one[alike], other[alike]
+    classes = np.sort(np.stack([label[one], label[other]]), axis=0)
+    _, first = np.unique(classes, axis=1, return_index=True)
+    return one[first], other[first]
+
+
 def near_duplicates(docs, id_col="doc_id", text_col="text", shingle=SHINGLE, least=SIMILARITY):
     """Per row: doc_id, class_id and twin_id.
 

@@ -69,6 +69,20 @@ def test_hot_group_and_several_partners(spark, monkeypatch):
     assert set(found.values()) == {0} and len(found) == 80
 
 
+def test_chains_of_links_in_small_blocks(spark, monkeypatch):
+    """Texts that drift apart: many share buckets without being alike, links connect neighbours."""
+    monkeypatch.setattr(dart, "BLOCK_TEXTS", 6)
+    rng = random.Random(4)
+    rows, own = [], words(rng, 120).split(" ")
+    for i in range(90):
+        own = list(own)
+        for _ in range(rng.randrange(1, 4)):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
+        rows.append(((i * 37) % 91, " ".join(own)))
+    found = {r.doc_id: r.class_id for r in near_duplicates(frame(spark, rows)).collect()}
+    assert found == brute(rows) and 1 < len(set(found.values())) < 60
+
+
 def test_odd_rows(spark):
     text = "eins zwei drei vier fuenf sechs sieben"
     rows = [(5, text, 1), (5, text, 1), (5, "other words here", 1), (None, text.upper(), 1), (7, None, 1), (8, "", 1), (9, "!?", 1)]
