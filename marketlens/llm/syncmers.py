@@ -15,28 +15,35 @@ TOKEN = r"\S{1,16}"
 _AFTER_END = 2**63 - 1
 
 
-def token_hashes(text):
-    """A hash per token, in text order; null and empty texts have no tokens."""
+def token_hashes(text, k=K):
+    """A hash per token, in text order, then k - 1 for the end; null and empty texts: no tokens."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.transform(found, lambda token: F.xxhash64(token))
+    hashes = F.transform(found, lambda token: F.xxhash64(token))
+    return F.concat(hashes, F.array_repeat(F.lit(_AFTER_END).cast("long"), k - 1))
 
 
-def syncmers(hashes, k=K):
-    """From the tokens' hashes, the anchors: structs of the place of the k-mer, from 1, and its
-    hash."""
-    padded = F.concat(hashes, F.array_repeat(F.lit(_AFTER_END).cast("long"), k - 1))
+def syncmers(padded, k=K):
+    """From `token_hashes`, the anchors: structs of the place of the k-mer, from 1, and its hash.
+
+    `padded` has to be a column that is there: an expression would be computed for every token.
+    """
+    n_tokens = F.size(padded) - (k - 1)
+
+    def kmer(i):
+        # Item by item: cutting out a slice would copy the whole array each time.
+        return [F.get(padded, i + (j - 1)) for j in range(k)]
 
     def closed(i):
-        least = F.array_min(F.slice(padded, i, k))
-        return (F.get(padded, i - 1) == least) | (F.get(padded, i + (k - 2)) == least)
+        tokens = kmer(i)
+        inner = F.least(*tokens[1:-1]) if k > 3 else tokens[1]
+        return F.least(tokens[0], tokens[-1]) <= inner
 
-    places = F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes))).otherwise(
+    places = F.when(n_tokens > 0, F.sequence(F.lit(1), n_tokens)).otherwise(
         F.array().cast("array<int>")
     )
-    chosen = F.filter(places, closed)
     return F.transform(
-        chosen,
-        lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(padded, i, k)).alias("hash")),
+        F.filter(places, closed),
+        lambda i: F.struct(i.alias("place"), F.xxhash64(*kmer(i)).alias("hash")),
     )
 
 
