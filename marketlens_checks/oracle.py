@@ -846,6 +846,20 @@ RECORD_TEXTS = {
 }
 
 
+# What an analysis without enough data says instead: (summary, method entries, warnings).
+EMPTY_TEXTS = {
+    "monthly_revenue_trend": (
+        "There are too few complete months for a revenue trend.",
+        "minimum_order_count_per_month=100",
+        "A trend needs at least two complete months.",
+    ),
+    "revenue_by_category": ("No category revenue evidence was available.", "", ""),
+    "revenue_by_state": ("No state revenue evidence was available.", "", ""),
+    "delivery_by_state": ("No state delivery evidence was available.", "", ""),
+    "late_vs_on_time": ("The data does not hold both late and on-time orders.", "", ""),
+}
+
+
 def _records():
     """Summary, methods and warnings of every evidence record, in words."""
 
@@ -894,9 +908,9 @@ SELECT 'delivery_by_state', NULL, (SELECT 'Of the states with enough orders, ' |
   || ' had the most late deliveries: ' || {two("late_delivery_rate_percentage")} || '% of '
   || {number("order_count")} || ' orders.' FROM ({_scorecard("per_order", "customer_state", 100)}) LIMIT 1)""",
         f"""
-SELECT 'late_vs_on_time', NULL, 'Late orders were reviewed at ' || {two("ls")}
+SELECT 'late_vs_on_time', NULL, (SELECT 'Late orders were reviewed at ' || {two("ls")}
   || ' on average and on-time orders at ' || {two("ts")} || ', a gap of ' || {two("round(ts - ls, 2)")}
-  || ' points.' FROM pair""",
+  || ' points.' FROM pair)""",
         f"""
 SELECT 'revenue_change_investigation', {month("purchase_month_start")}, 'Item revenue '
   || {word("revenue_change_amount", "increased", "decreased", "did not change")} || ' by '
@@ -912,8 +926,12 @@ FROM components WHERE previous_month_start IS NOT NULL""",
         f"({_text(k)}, {_text(methods)}, {_text(warnings)})"
         for k, (methods, warnings) in RECORD_TEXTS.items()
     )
+    empty = ", ".join(f"({', '.join(_text(x) for x in (k, *v))})" for k, v in EMPTY_TEXTS.items())
     return _on(
-        "SELECT analysis_type, month, summary, methods, warnings FROM told JOIN texts USING (analysis_type)",
+        "SELECT analysis_type, month, coalesce(summary, no_summary) AS summary, "
+        "CASE WHEN summary IS NULL THEN no_methods ELSE methods END AS methods, "
+        "CASE WHEN summary IS NULL THEN no_warnings ELSE warnings END AS warnings "
+        "FROM told JOIN texts USING (analysis_type) LEFT JOIN empty USING (analysis_type)",
         PER_ORDER,
         KPIS,
         _months(100),
@@ -922,6 +940,7 @@ FROM components WHERE previous_month_start IS NOT NULL""",
         LATE_PAIR,
         f"told AS ({_union(summaries)})",
         f"texts(analysis_type, methods, warnings) AS (VALUES {texts})",
+        f"empty(analysis_type, no_summary, no_methods, no_warnings) AS (VALUES {empty})",
     )
 
 
