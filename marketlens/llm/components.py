@@ -17,15 +17,22 @@ def components(links):
         .distinct(),
         "links",
     )
-    state = None
     while True:
         edges = stored(_small_star(_large_star(edges)), "links")
-        seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
+        if _are_stars(edges):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
             )
-        state = tuple(seen)
+
+
+def _are_stars(edges):
+    """Whether every node points to one node at most, and none that is pointed to does."""
+    sides = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("is_end"))
+    sides = sides.unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("is_end"))
+    )
+    nodes = sides.groupBy("node").agg(F.sum("out").alias("out"), F.max("is_end").alias("is_end"))
+    return nodes.filter("out > 1 OR out + is_end > 1").isEmpty()
 
 
 def _large_star(edges):
