@@ -367,14 +367,25 @@ def _linked(rows, shingle, least):
     order = np.lexsort((text, unit))
     unit, text = unit[order], text[order]
     shared = np.zeros(at * at, np.int32)
-    # Occurrences of a shingle that are `step` places apart, for all shingles at once.
-    rest = np.arange(len(unit))
-    step = 1
-    while len(rest):
-        rest = rest[rest + step < len(unit)]
-        rest = rest[unit[rest] == unit[rest + step]]
-        np.add.at(shared, text[rest] * at + text[rest + step], 1)
-        step += 1
+    # Two texts of the largest class need no comparison: pairs begin at texts of other classes.
+    # Occurrences of a shingle that are `step` places apart, for all shingles at once; backwards
+    # only to texts of the largest class, as others come this way themselves.
+    largest = label == np.bincount(label).argmax()
+    begin = np.flatnonzero(~largest[text])
+    for back in (False, True):
+        rest, step = begin, 1
+        while len(rest):
+            partner = rest - step if back else rest + step
+            inside = partner >= 0 if back else partner < len(unit)
+            rest, partner = rest[inside], partner[inside]
+            same = unit[rest] == unit[partner]
+            rest, partner = rest[same], partner[same]
+            if back:
+                hit = largest[text[partner]]
+                np.add.at(shared, text[partner[hit]] * at + text[rest[hit]], 1)
+            else:
+                np.add.at(shared, text[rest] * at + text[partner], 1)
+            step += 1
     one, other = np.divmod(np.flatnonzero(shared), at)
     both = shared[one * at + other]
     either = size[one] + size[other] - both
