@@ -35,7 +35,7 @@ CHUNK_WORDS = 500_000
 SLICE_BYTES = 4 << 20
 #: Bytes of text per range of n-grams, and per range of contexts.
 RANGE_BYTES = 12 << 20
-CONTEXT_BYTES = 96 << 20
+CONTEXT_BYTES = 24 << 20
 
 _U = np.uint64
 END, START = _U(0x243F6A8885A308D3), _U(0x13198A2E03707344)
