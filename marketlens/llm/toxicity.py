@@ -26,7 +26,7 @@ STEMS = (4, 5, 6)
 #: Words that far apart are near each other.
 NEAR = 5
 SLICE_BYTES = 4 << 20
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 500_000
 
 #: Words of the second person in English, German, French and Spanish.
 SECOND_PERSON = frozenset(
