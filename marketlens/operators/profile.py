@@ -146,7 +146,8 @@ def numeric_statistics(df, counts=None):
     numbers = counts.filter(F.col("column_name").isin(columns)).select(
         "column_name", code.alias("code"), F.col("value").cast("double").alias("value"), "n"
     )
-    medians = exact_median(numbers, ["column_name"], small_keys=True)
+    # Stored: the codes are long expressions, and several steps read them.
+    medians = exact_median(stored(numbers, "codes"), ["column_name"], small_keys=True)
     return bounds.join(medians, "column_name", "left")
 
 
