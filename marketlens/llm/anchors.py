@@ -15,14 +15,16 @@ Hashes of regions have 128 bits together with their anchor's; nothing else is le
 
 import numpy as np
 import pyarrow as pa
-from marketlens.llm import textbytes
+from marketlens.llm import suffixes, textbytes
 from marketlens.llm.runtime import ship
 from marketlens.llm.textbytes import RangeHash, mixed
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-#: Regions of an anchor are compared in shards of about so many.
+#: Regions of an anchor are compared in shards of about so many, with about so many symbols at
+#: most. A shard is one suffix array: the rest up to suffixes.MOST is for uneven shards.
 SHARD_REGIONS = 20_000
+SHARD_SYMBOLS = suffixes.MOST * 3 // 4
 SLICE_BYTES = 2 << 20
 
 #: kind 0: a region to be grouped; kind 1: a stretch known to be repeated.
@@ -140,7 +142,7 @@ def settled_regions(found, keep_first):
 
     One shuffle by anchor, in which a region has at most one row per slice, as slices settle
     their own copies. keep_first: later occurrences are covered; otherwise all of several.
-    An anchor with very many different regions has them dealt to `shards` shards.
+    An anchor with very many different regions, or long ones, has them dealt to `shards` shards.
     """
     name = F.struct("key", "variant", "start")
     same = Window.partitionBy("anchor", "region").orderBy("key", "variant", "start")
@@ -154,6 +156,8 @@ def settled_regions(found, keep_first):
         .withColumn("trailer", F.last(name).over(whole))
         .withColumn("new", ((F.col("kind") == 0) & (F.col("number") == 1)).cast("long"))
         .withColumn("n_regions", F.sum("new").over(group))
+        # With one symbol more for what parts a region from the next one.
+        .withColumn("n_symbols", F.sum(F.col("new") * (F.col("size") + 1)).over(group))
     )
     if keep_first:
         covered = name != F.col("leader")
@@ -161,7 +165,10 @@ def settled_regions(found, keep_first):
         covered = (F.col("leader") != F.col("trailer")) & ~F.col("several")
     settled = F.col("kind") == 1
     compared = ~settled & (F.col("new") == 1) & (F.col("n_regions") > 1)
-    shards = (1 + F.floor(F.col("n_regions") / F.lit(SHARD_REGIONS))).cast("int")
+    shards = F.greatest(
+        1 + F.floor(F.col("n_regions") / F.lit(SHARD_REGIONS)),
+        1 + F.floor(F.col("n_symbols") / F.lit(SHARD_SYMBOLS)),
+    ).cast("int")
     marks = regions_before.select(
         "anchor",
         shards.alias("shards"),

@@ -1,6 +1,7 @@
 import random
 
-from marketlens.llm import anchors, suffix_dedup
+import numpy as np
+from marketlens.llm import anchors, suffix_dedup, textbytes
 from marketlens.llm.suffix_dedup import deduplicated, remove_repeats
 
 from tests.llm.tools import corpus, frame, sha
@@ -78,3 +79,23 @@ def test_blocks_of_a_few_bytes(spark, monkeypatch):
     rows = corpus(seed=11)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 500)
     assert result(remove_repeats(frame(spark, rows))) == brute(rows)
+
+
+def test_one_anchor_with_more_bytes_than_a_suffix_array_holds(spark):
+    """At the production constants; fewer regions than make a second shard by their number."""
+    # A phrase that is the anchor of any window that holds it: the least of many hashes.
+    phrases = np.random.default_rng(9).integers(97, 123, (1 << 18, 20)).astype(np.uint8)
+    at = np.arange(len(phrases)) * 20
+    hashes = textbytes.mixed(textbytes.RangeHash(phrases.ravel()).of(at, at + 20))
+    phrase = phrases[hashes.argmin()].tobytes().decode()
+    rng = random.Random(9)
+    around = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=90)) for _ in range(19_900)]
+    after = around[1000:] + around[:1000]
+    # Every tenth has the text before the phrase of the one before it: a repeat across regions.
+    rows = [
+        (i, around[i - (i % 10 == 1)] + phrase + after[i])
+        for i in range(len(around) - 100)
+    ]
+    found = result(remove_repeats(frame(spark, rows, parts=4)))
+    assert found == brute(rows)
+    assert sum(r[1] > 0 for r in found.values()) > 1900
