@@ -10,8 +10,8 @@ the n-grams with some hashes. What they exchange are packed arrays, shuffled by
    of contexts, what it holds of the weights' sums and which documents need which weight,
 4. ranges of contexts finish the weights and send back their logarithms, summed by document.
 
-P(w | h) = d(r) r / (c(h) + 1) for pairs met r >= MIN_PAIR times in training, and a(h) P(w) for
-others. d is Good and Turing's discount for r up to K; the one count more is kept for pairs that
+P(w | h) = d(r) r / (c(h) + 1) for pairs met r times in training, once included, and a(h) P(w)
+for others. d is Good and Turing's discount for r up to K; the one count more is kept for pairs that
 were never met. a(h) is the mass left divided by the mass of P that the met pairs leave, so that
 every context sums to 1 exactly. P(w) = d(c) c / N; what that leaves goes to one word that stands
 for all unknown ones. A text begins in a context of its own and ends with an end token.
@@ -27,8 +27,8 @@ from marketlens.llm.textbytes import RangeHash, mixed
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-#: Pairs met less often in training count as never met.
-MIN_PAIR = 2
+#: Pairs met less often in training count as never met: 1, every pair that was met is kept.
+MIN_PAIR = 1
 #: Counts up to this are discounted.
 K = 5
 CHUNK_WORDS = 500_000
@@ -341,7 +341,7 @@ def _score_chunk(model, n_ranges, name, stream, answers):
     of = example[adds]
     taken = np.bincount(context[of], kept[of], start + 1)
     covered = np.bincount(context[of], p_word[of], start + 1)
-    # Contexts that were met once at most have no pairs that count: their weight is 1.
+    # Contexts that were never met have no pairs: their weight is 1.
     asks = np.flatnonzero(~met & (context_counts[context] >= MIN_PAIR))
     keys = np.append(distinct, START)
     needed = np.zeros(start + 1, bool)

@@ -119,3 +119,23 @@ def test_packing_of_numbers():
     assert (from_planes(planes(keys), np.uint64) == keys).all()
     bounds = range_bounds(keys, 7)
     assert bounds[0] == 0 and bounds[-1] == 1000 and (np.diff(bounds) > 0).all()
+
+
+def test_pairs_met_once_keep_their_own_probability(spark):
+    # Pairs met once, twice, ... in training: r = 1 has a discount below 1.
+    rows = [(i, f"p{i} q{i} " * (1 + i % 4)) for i in range(1, 40)] + [(100, "p4 q4 p9 q9"), (101, "q4 p9")]
+    found = {r.doc_id: r for r in scores(frame(spark, rows), F.col("doc_id") < 100).collect()}
+    own = [tokens(t) for i, t in rows if i < 100]
+    pairs, contexts = Counter(), Counter()
+    for words_of_text in own:
+        before = ["<start>", *words_of_text[:-1]]
+        pairs.update(zip(before, words_of_text, strict=True))
+        contexts.update(before)
+    met = Counter(pairs.values())
+    d = discounts([met[r] for r in range(katz.K + 2)])
+    assert pairs["p4", "q4"] == 1 and pairs["<start>", "p4"] == 1 and pairs["q4", None] == 1 and d[1] < 1
+    chain = ["<start>", "p4", "q4", None]
+    score = sum(
+        math.log10(d[1] / (contexts[h] + 1)) for h, w in zip(chain, chain[1:], strict=False)
+    )
+    assert found[4].score == pytest.approx(score, abs=1e-9)
