@@ -1,7 +1,9 @@
 """Token ids of many texts with a public tokenizer: each distinct piece of text is encoded once.
 
-Neither tokenizer joins anything across the start of a run of white space: a piece is a run of
-ASCII white space with the text up to the next one, and the ids of a text are those of its pieces.
+Neither tokenizer joins anything across the start of a run of white space, in the sense of Unicode
+(inside one, some do: blanks and no-break spaces in turn are one token). A piece begins at ASCII
+white space that follows another character than white space, and goes up to the next one; the ids
+of a text are those of its pieces.
 The pieces are found, hashed and looked up as arrays. A piece that isn't known yet goes through
 the normaliser, the pre-tokenizer and the model of the tokenizers library, one by one. Strings of
 special tokens in a text are ordinary text.
@@ -14,6 +16,22 @@ from marketlens.llm import textbytes
 KNOWN_PIECES = 3_000_000
 
 
+#: White space of several bytes in UTF-8, as numbers of the last three bytes or, below 2**16, two.
+_WIDE_SPACE = np.array(
+    [
+        int.from_bytes(chr(c).encode(), "big")
+        for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+    ]
+)
+
+
+def _after_wide_space(data, at):
+    """True where the character before a position is white space of several bytes."""
+    last, middle, first = (data[np.maximum(at - i, 0)].astype(np.int64) for i in (1, 2, 3))
+    two = middle << 8 | last
+    return np.isin(two, _WIDE_SPACE) | np.isin(first << 16 | two, _WIDE_SPACE)
+
+
 class Encoder:
     def __init__(self, path):
         from tokenizers import Tokenizer
@@ -69,6 +87,9 @@ class Encoder:
         space = textbytes.SPACE[data]
         first = np.zeros(len(data), bool)
         first[1:] = space[1:] & ~space[:-1]
+        # Not many: only those after a byte of a longer character are looked at.
+        wide = 1 + np.flatnonzero(first[1:] & (data[:-1] >= 0x80))
+        first[wide[_after_wide_space(data, wide)]] = False
         first[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(data))

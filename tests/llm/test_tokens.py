@@ -44,6 +44,20 @@ def test_ids_are_those_of_whole_texts(name, texts, monkeypatch):
             assert found == (whole if part is texts else whole[::-1])
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_mixed_white_space(name):
+    rng = random.Random(17)
+    spaces = "  \u00a0\u00a0\n\t\x85\u1680\u180e\u2000\u2003\u200a\u200b\u2028\u2029\u202f\u205f\u3000"
+    texts = ["a \u00a0 \u00a0 b", "\u00a0 \u00a0 x", "x\u00a0", " y", "\u00a0", " \u00a0 z \u00a0"] + [
+        "".join(rng.choice(spaces) if rng.random() < 0.7 else rng.choice("abé日.") for _ in range(30))
+        for _ in range(500)]
+    texts += ["".join(rng.choice("  \u00a0\u00a0a") for _ in range(40)) for _ in range(300)]
+    coder = Encoder(public_tokenizers.path(name))
+    whole = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, before = coder.encode(*flat(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(before, before[1:], strict=False)] == whole
+
+
 def test_token_files(spark):
     rows = corpus(40) + [(None, "without id")]
     path = public_tokenizers.path("word_bpe_49k.json")
