@@ -1,10 +1,13 @@
 """Document fingerprints of closed syncmers, in DataFrame functions only.
 
-The tokens of a text are its stretches without white space, cut after 16 characters. A k-mer is
-K tokens in a row; it is chosen if its smallest hashed token is its first or its last one. That
-depends on the k-mer alone and not on what surrounds it, so a passage gives the same anchors in
-any text. Past its end a text goes on with tokens that are larger than all others, so that
-short texts have anchors too.
+A k-mer is CHARS characters in a row; it is chosen if the smallest hash of its parts, the PART
+characters from each of its places on, is that of its first or its last part. That depends on the
+k-mer alone and not on what surrounds it, so a passage gives the same anchors in any text. Past
+its end a text goes on with parts that are larger than all others, so that short texts have
+anchors too.
+
+`with_fingerprint` does the same for tokens, stretches without white space that are cut after 16
+characters, with k-mers of K tokens.
 """
 
 from pyspark.sql import Window
@@ -12,6 +15,10 @@ from pyspark.sql import functions as F
 
 K = 4
 TOKEN = r"\S{1,16}"
+CHARS = 12
+PART = 4
+#: Parts of a k-mer of characters.
+PARTS = CHARS - PART + 1
 _AFTER_END = 2**63 - 1
 
 
@@ -22,6 +29,16 @@ def token_hashes(text, k=K):
     return F.concat(hashes, F.array_repeat(F.lit(_AFTER_END).cast("long"), k - 1))
 
 
+def part_hashes(text):
+    """A hash per character, of the PART from there on or fewer at the end, then PARTS - 1 for the end."""
+    # The look-ahead holds the part; what is matched is one character.
+    found = F.regexp_extract_all(
+        F.coalesce(text, F.lit("")), F.lit(rf"(?s)(?=(.{{1,{PART}}}))."), F.lit(1)
+    )
+    hashes = F.transform(found, lambda part: F.xxhash64(part))
+    return F.concat(hashes, F.array_repeat(F.lit(_AFTER_END).cast("long"), PARTS - 1))
+
+
 def syncmers(padded, k=K):
     """From `token_hashes`, the anchors: structs of the place of the k-mer, from 1, and its hash.
 
@@ -49,14 +66,19 @@ def syncmers(padded, k=K):
 
 def with_fingerprint(df, text_col, to):
     """Add `to`, the array of a text's anchors. A helper column gets a name that `df` doesn't have."""
+    return _with_anchors(df, token_hashes(F.col(text_col)), K, to)
+
+
+def with_char_fingerprint(df, text_col, to):
+    """As `with_fingerprint`, of characters; places are those of characters, from 1."""
+    return _with_anchors(df, part_hashes(F.col(text_col)), PARTS, to)
+
+
+def _with_anchors(df, padded, k, to):
     hashes = f"{to}_hashes"
     while hashes in df.columns:
         hashes += "_"
-    return (
-        df.withColumn(hashes, token_hashes(F.col(text_col)))
-        .withColumn(to, syncmers(F.col(hashes)))
-        .drop(hashes)
-    )
+    return df.withColumn(hashes, padded).withColumn(to, syncmers(F.col(hashes), k)).drop(hashes)
 
 
 def likeness(a, b):
@@ -119,11 +141,21 @@ def edit_fingerprints(docs, id_col="doc_id", text_col="text"):
     everywhere = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follower = F.coalesce(F.lead("text").over(around), F.first("text").over(everywhere))
     after_range = texts.select("range", follower.alias("after"))
-    after_range = with_fingerprint(after_range, "after", "after_anchors").select(
+    after_range = with_char_fingerprint(after_range, "after", "after_anchors").select(
         "range", "after", F.col("after_anchors.hash").alias("after_hashes")
     )
-    whole = with_fingerprint(named.repartition("range"), "text", "anchors").select(
-        "doc_id", "h", "range", "text", F.col("anchors.hash").alias("hashes")
+    n_chars = F.char_length("text").cast("long")
+    whole = (
+        with_char_fingerprint(named.repartition("range"), "text", "anchors")
+        .withColumn("n_chars", n_chars)
+        .withColumn("n_left", F.expr("n_chars - n_chars div 4"))
+        # Anchors that lie in what the edit leaves are those of the edited text as well.
+        .withColumn(
+            "n_same",
+            F.size(F.filter("anchors.place", lambda place: place <= F.col("n_left") - (CHARS - 1))),
+        )
+        .select("doc_id", "h", "range", "text", "n_chars", "n_left", "n_same",
+                F.col("anchors.hash").alias("hashes"))
     )
     within = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_last(), "h")
     followed = (
@@ -132,20 +164,22 @@ def edit_fingerprints(docs, id_col="doc_id", text_col="text"):
         .join(after_range, "range", "left")
         .withColumn("next_text", F.coalesce("next_text", "after"))
         .withColumn("next_hashes", F.coalesce("next_hashes", "after_hashes"))
-        .withColumn("n_chars", F.char_length("text").cast("long"))
     )
     edited = followed.select(
         "doc_id",
         "n_chars",
         "hashes",
         "next_hashes",
+        "n_left",
+        "n_same",
         F.expr(
-            "concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), "
+            "concat(substring(text, 1, cast(n_left as int)), "
             "substring(next_text, 1, cast(n_chars div 4 as int)))"
         ).alias("edited"),
-    )
-    both = with_fingerprint(edited, "edited", "edited_anchors").withColumn(
-        "edited_hashes", F.col("edited_anchors.hash")
+    ).withColumn("tail", F.expr(f"substring(edited, cast(greatest(1, n_left - {CHARS - 2}) as int))"))
+    both = with_char_fingerprint(edited, "tail", "tail_anchors").withColumn(
+        "edited_hashes",
+        F.concat(F.slice("hashes", F.lit(1), F.col("n_same")), F.col("tail_anchors.hash")),
     )
     return both.select(
         "doc_id",

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from marketlens.llm.syncmers import edit_fingerprints, likeness, with_fingerprint
+from marketlens.llm.syncmers import as_text, edit_fingerprints, likeness, with_char_fingerprint, with_fingerprint
 from pyspark.sql import functions as F
 
 from tests.llm.tools import corpus, frame, sha, words
@@ -73,3 +73,20 @@ def test_odd_rows(spark):
     (last,) = [r for r in found if r.doc_id is None]
     assert last.edited_sha256 == sha("last words of" + "a b ")
     assert edit_fingerprints(df.limit(0)).collect() == []
+
+
+def test_short_texts_and_unbroken_runs_share_anchors(spark):
+    rng = random.Random(8)
+    run = "".join(rng.choices("abcdefghij日本語👩", k=400))
+    texts = {1: "uncommonly lengthy designations", 2: "interdepartmental reorganisation plan", 3: run,
+             4: run[:3] + "z" + run[3:], 5: "short", 6: ""}
+    found = {r.doc_id: r for r in edit_fingerprints(frame(spark, list(texts.items()))).collect()}
+    assert found[1].near_edited > 0 and found[2].near_edited > 0
+    assert found[3].near_next > 0.9 and found[3].near_edited > 0.5
+    # The edited text's fingerprint, put together from two, is that of the whole text.
+    edited = [
+        (i, t[: len(t) - len(t) // 4] + texts[i % 6 + 1][: len(t) // 4]) for i, t in texts.items()
+    ]
+    whole = with_char_fingerprint(frame(spark, edited), "text", "anchors")
+    for r in whole.select("doc_id", as_text(F.col("anchors.hash")).alias("f")).collect():
+        assert found[r.doc_id].edited_fingerprint == r.f
