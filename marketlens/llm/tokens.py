@@ -5,8 +5,8 @@ Neither tokenizer joins anything across the start of a run of white space, in th
 white space that follows another character than white space, and goes up to the next one; the ids
 of a text are those of its pieces.
 The pieces are found, hashed and looked up as arrays. A piece that isn't known yet goes through
-the normaliser, the pre-tokenizer and the model of the tokenizers library, one by one. Strings of
-special tokens in a text are ordinary text.
+the normaliser, the pre-tokenizer and the model of the tokenizers library, one by one. A piece with
+the string of an added token, which has no white space, is encoded by the library as a whole.
 """
 
 import numpy as np
@@ -37,6 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
 
@@ -55,6 +56,9 @@ class Encoder:
         split, model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
         out = []
         for text in texts:
+            if any(token in text for token in self.added):
+                out.append(tokenizer.encode(text, add_special_tokens=False).ids)
+                continue
             ids = []
             for word, _ in split(normalise(text) if normalise else text):
                 known = words.get(word)

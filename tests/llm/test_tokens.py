@@ -58,6 +58,17 @@ def test_ids_of_mixed_white_space(name):
     assert [ids[a:b].tolist() for a, b in zip(before, before[1:], strict=False)] == whole
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_added_tokens(name):
+    rng = random.Random(23)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", " ", "  ", "\n", "\u00a0", "ab", "É", "\u0301", "'s"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(600)]
+    coder = Encoder(public_tokenizers.path(name))
+    whole = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, before = coder.encode(*flat(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(before, before[1:], strict=False)] == whole
+
+
 def test_token_files(spark):
     rows = corpus(40) + [(None, "without id")]
     path = public_tokenizers.path("word_bpe_49k.json")
