@@ -7,6 +7,7 @@ from marketlens.llm import (
     decontam,
     fm_dedup,
     katz,
+    merkle,
     packing,
     suffix_dedup,
     syncmers,
@@ -86,6 +87,10 @@ def op10_fm_dedup(spark, folder):
     return fm_dedup.remove_repeats(table(spark, folder, "documents")).drop("removed")
 
 
+def op13_merkle(spark, folder):
+    return merkle.manifest(table(spark, folder, "documents"), merkle.without_line_breaks)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_katz": op9_katz,
     "op10_fm_dedup": op10_fm_dedup,
+    "op13_merkle": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -235,3 +241,73 @@ ORACLE_SQL |= {
     "op4_near_duplicates": _NEAR_SQL,
     "op10_fm_dedup": _FM_SQL,
 }
+
+# CRC-32 of a short text: the table of one byte's remainders, then byte by byte.
+_CRC_TABLE = """crc_steps(i, k, v) AS (
+    SELECT i, 0, i FROM range(256) AS t(i)
+    UNION ALL
+    SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+    FROM crc_steps WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS remainders FROM crc_steps WHERE k = 8)"""
+
+
+def _crc_sql(text):
+    bytes_of = f"list_transform(range(strlen({text})), lambda i: CAST(ascii(substr({text}, i + 1, 1)) AS BIGINT))"
+    return (
+        f"xor(list_reduce({bytes_of}, lambda v, b: xor(remainders[1 + (xor(v, b) & 255)], v >> 8), 4294967295),"
+        " 4294967295)"
+    )
+
+
+# `nodes` holds all levels of all trees; source trees first, then, from their roots, the tree -1.
+_MERKLE_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, d AS (
+    SELECT row_number() OVER () AS no, doc_id, source, {_crc_sql("CAST(doc_id AS VARCHAR)")} AS check_sum,
+           concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'),
+                  coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                  coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS begun, text
+    FROM documents, crc
+), leaves AS (
+    SELECT no, doc_id, sha256(begun || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           CASE WHEN check_sum % 2 = 0 THEN sha256(begun || coalesce(
+               strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))
+           ELSE sha256(begun || coalesce(strlen(text) || ':' || text, '-')) END AS start,
+           dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS place,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM d
+), low(tree, level, place, digest, n) AS (
+    SELECT tree, 0, place, leaf, n FROM leaves
+    UNION ALL
+    SELECT tree, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (n + 2) // 3
+    FROM low WHERE n > 1 GROUP BY tree, level, place // 3, n
+), subroots AS (
+    SELECT tree, digest, count(*) OVER () AS n FROM low WHERE n = 1
+), high(tree, level, place, digest, n) AS (
+    SELECT -1, 0, tree, digest, n FROM subroots
+    UNION ALL
+    SELECT tree, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (n + 2) // 3
+    FROM high WHERE n > 1 GROUP BY tree, level, place // 3, n
+), nodes AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+runs AS (
+    SELECT tree, level, place // 3 AS run, n, list(digest ORDER BY place) AS run_nodes
+    FROM nodes GROUP BY tree, level, place // 3, n
+), climb(no, tree, level, place, proof, folded) AS (
+    SELECT no, tree, 0, place, '', start FROM leaves
+    UNION ALL
+    SELECT no, CASE WHEN r.n > 1 THEN c.tree ELSE -1 END, CASE WHEN r.n > 1 THEN c.level + 1 ELSE 0 END,
+           CASE WHEN r.n > 1 THEN r.run ELSE c.tree END,
+           CASE WHEN r.n > 1 THEN proof || coalesce(list_aggregate(
+               run_nodes[: c.place % 3] || run_nodes[c.place % 3 + 2 :], 'string_agg', ''), '') ELSE proof END,
+           CASE WHEN r.n > 1 THEN sha256(list_aggregate(
+               run_nodes[: c.place % 3] || [folded] || run_nodes[c.place % 3 + 2 :], 'string_agg', '')) ELSE folded END
+    FROM climb c JOIN runs r ON r.tree = c.tree AND r.level = c.level AND r.run = c.place // 3
+    WHERE c.tree >= 0 OR r.n > 1
+), ends AS (SELECT no, max_by(coalesce(proof, ''), (tree < 0, level)) AS proof, max_by(folded, (tree < 0, level)) AS folded
+            FROM climb GROUP BY no)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(proof) AS proof_sha256,
+       folded AS folded_root, folded = r.digest AS verified
+FROM leaves l JOIN ends USING (no) JOIN subroots s USING (tree), high r WHERE r.n = 1
+"""
+
+ORACLE_SQL |= {"op13_merkle": _MERKLE_SQL}
