@@ -3,6 +3,7 @@
 import corpus_pipeline
 import public_tokenizers
 from marketlens.llm import (
+    conversations,
     dart,
     decontam,
     fm_dedup,
@@ -87,6 +88,11 @@ def op10_fm_dedup(spark, folder):
     return fm_dedup.remove_repeats(table(spark, folder, "documents")).drop("removed")
 
 
+def op11_repair(spark, folder):
+    rows = conversations.damaged(table(spark, folder, "conversations"))
+    return conversations.repaired(rows).audits
+
+
 def op13_merkle(spark, folder):
     return merkle.manifest(table(spark, folder, "documents"), merkle.without_line_breaks)
 
@@ -102,6 +108,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_katz": op9_katz,
     "op10_fm_dedup": op10_fm_dedup,
+    "op11_repair": op11_repair,
     "op13_merkle": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
@@ -311,3 +318,75 @@ FROM leaves l JOIN ends USING (no) JOIN subroots s USING (tree), high r WHERE r.
 """
 
 ORACLE_SQL |= {"op13_merkle": _MERKLE_SQL}
+
+# `best` holds, after i rows, the cheapest edits to each state (0 empty, 1 system, 2 user, 3
+# assistant); `replay` applies the edits one by one.
+_REPAIR_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, named AS (
+    SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role,
+           coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+    FROM conversations
+), chances AS (
+    SELECT named.*, {_crc_sql("name")} % 20 AS chance FROM named, crc
+), damaged AS (
+    SELECT c, turn, CASE WHEN chance = 4 THEN 'user' ELSE role END AS role,
+           CASE chance WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM chances, LATERAL unnest(range(CASE chance WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(k)
+), ends AS (
+    SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i,
+           right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last_char
+    FROM damaged
+), judged AS (
+    SELECT *, CASE WHEN last_char = '' THEN 'blank'
+                   WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN last_char NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+    FROM ends
+), letters AS (
+    SELECT c, i, turn, role, text, fault, left(role, 1) AS own, coalesce(fault IN ('blank', 'duplicate'), FALSE) AS goes,
+           CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cut,
+           left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS pair
+    FROM judged
+), sums AS (
+    SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM letters GROUP BY c
+), inserts(q, added, q1) AS (
+    VALUES (0, '', 0), (0, 'I', 2), (0, 'II', 3), (1, '', 1), (1, 'I', 2), (1, 'II', 3),
+           (2, '', 2), (2, 'I', 3), (3, '', 3), (3, 'I', 2)
+), best(c, i, q, way) AS (
+    SELECT c, CAST(0 AS BIGINT), 0, {{'cost': 0, 'edits': ''}} FROM sums
+    UNION ALL
+    SELECT b.c, l.i, e.q2, min({{'cost': b.way.cost + 3 * len(added) + e.cost, 'edits': b.way.edits || added || e.edit}})
+    FROM best b JOIN inserts USING (q) JOIN letters l ON l.c = b.c AND l.i = b.i + 1,
+         LATERAL (
+             SELECT q1 AS q2, 4 AS cost, 'D' AS edit
+             UNION ALL SELECT CASE own WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, cut, 'K'
+             WHERE NOT goes AND (own = 's' AND q1 = 0 OR own = 'u' AND q1 <> 2 OR own = 'a' AND q1 = 2)
+             UNION ALL SELECT CASE WHEN q1 = 2 THEN 3 ELSE 2 END, cut + 3, 'R' WHERE NOT goes) e
+    GROUP BY b.c, l.i, e.q2
+), chosen AS (
+    SELECT b.c, min({{'cost': b.way.cost + 3 * len(added), 'edits': b.way.edits || added}}) AS way
+    FROM best b JOIN sums s ON s.c = b.c AND s.n = b.i JOIN inserts USING (q) WHERE q1 IN (0, 3) GROUP BY b.c
+), replay(c, t, i, q, edits, text) AS (
+    SELECT c, 0, CAST(0 AS BIGINT), 0, way.edits, CAST(NULL AS VARCHAR) FROM chosen
+    UNION ALL
+    SELECT r.c, t + 1, CASE WHEN edit = 'I' THEN r.i ELSE r.i + 1 END,
+           CASE WHEN edit = 'D' THEN q WHEN edit = 'K' AND own = 's' AND q = 0 THEN 1 WHEN q = 2 THEN 3 ELSE 2 END,
+           edits,
+           CASE WHEN edit = 'D' THEN r.text ELSE concat_ws(chr(10), r.text,
+                CASE WHEN edit = 'K' THEN l.role WHEN q = 2 THEN 'assistant' ELSE 'user' END || ':'
+                || CASE WHEN edit = 'I' THEN '' ELSE l.text END) END
+    FROM (SELECT *, substr(edits, t + 1, 1) AS edit FROM replay WHERE t < len(edits)) r
+         LEFT JOIN letters l ON l.c = r.c AND l.i = r.i + 1
+)
+SELECT n.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0) AS cost,
+       coalesce(way.edits, '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM named) n LEFT JOIN sums USING (c) LEFT JOIN chosen USING (c)
+     LEFT JOIN replay r ON r.c = n.c AND r.t = len(r.edits)
+"""
+
+ORACLE_SQL |= {"op11_repair": _REPAIR_SQL}
