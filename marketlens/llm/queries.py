@@ -10,6 +10,7 @@ from marketlens.llm import (
     katz,
     merkle,
     packing,
+    simhash,
     suffix_dedup,
     syncmers,
     tokenfiles,
@@ -93,6 +94,10 @@ def op11_repair(spark, folder):
     return conversations.repaired(rows).audits
 
 
+def op12_simhash(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op13_merkle(spark, folder):
     return merkle.manifest(table(spark, folder, "documents"), merkle.without_line_breaks)
 
@@ -109,6 +114,7 @@ QUERIES = {
     "op9_katz": op9_katz,
     "op10_fm_dedup": op10_fm_dedup,
     "op11_repair": op11_repair,
+    "op12_simhash": op12_simhash,
     "op13_merkle": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
