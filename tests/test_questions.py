@@ -1,9 +1,10 @@
 import random
+from collections import namedtuple
 
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.plans import evidence, explain, followups, routing
+from marketlens.plans import contexts, evidence, explain, followups, routing
 from marketlens.plans.investigate import month_key_text
 from tests.fixtures import evidence_table
 
@@ -127,8 +128,6 @@ def sequential(turns, months):
     out, last = [], {}
     for conv, turn, text in sorted(turns):
         question = text.strip()
-        if not question:
-            continue
         resolved = question
         if conv in last and LEANS[text]:
             resolved = followups.rewrite(question, *FEATURES[text], *last[conv])
@@ -162,9 +161,8 @@ TEXTS = [
 LEANS, FEATURES = {}, {}
 
 
-def test_conversations_agree_with_a_sequential_pass(spark, monkeypatch):
-    monkeypatch.setattr(followups, "CHUNK", 3)
-    texts = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+def _learn(spark, said):
+    texts = spark.createDataFrame([(t,) for t in set(said)], "text string")
     for r in texts.select(
         "text",
         followups.needs_context(F.col("text")).alias("leans"),
@@ -172,6 +170,11 @@ def test_conversations_agree_with_a_sequential_pass(spark, monkeypatch):
         F.regexp_extract("text", f"(?i){followups.MONTH_REFERENCE}", 0).alias("month"),
     ).collect():
         LEANS[r.text], FEATURES[r.text] = r.leans, (r.topic, r.month)
+
+
+def test_conversations_agree_with_a_sequential_pass(spark, monkeypatch):
+    monkeypatch.setattr(followups, "CHUNK", 3)
+    _learn(spark, TEXTS)
     chance = random.Random(7)
     turns = [
         (conv, turn, chance.choice(TEXTS))
@@ -188,6 +191,64 @@ def test_conversations_agree_with_a_sequential_pass(spark, monkeypatch):
     assert all(r.was_rewritten == (r.question != r.resolved_question) for r in rows)
 
 
+def _texts_of_a_long_talk(chance, n):
+    """Leaning turns only, after one question; what each becomes hangs on all before it."""
+    said = ["Why did revenue drop in March 2024?"]
+    for i in range(1, n):
+        said.append(chance.choice(["What about states?", "categories", "How about 2024-03?", "aov", "what drove that",
+                                   "How about \ue000 then", "What about it?", "What about sales in May 2024"]))
+    return said
+
+
+@pytest.mark.parametrize("first", ["Why did revenue drop in March 2024?", "categories", "Show the KPI overview"])
+def test_one_long_conversation_of_leaning_turns_in_many_chunks(spark, monkeypatch, first):
+    monkeypatch.setattr(followups, "CHUNK", 7)
+    said = [first, *_texts_of_a_long_talk(random.Random(len(first)), 300)[1:]]
+    _learn(spark, said)
+    turns = [(1, 3 * turn, text) for turn, text in enumerate(said)] + [(2, 0, "states"), (2, 9, "aov")]
+    months = ["ym:2024-03", "my:3-2024", "my:5-2024", "m:3", "decline"]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, question string")
+    result = followups.resolve_conversations(df, months)
+    found = sorted(
+        (r.conv_id, r.turn, r.resolved_question, r.analysis_type, r.answered) for r in result.collect()
+    )
+    assert found == sequential(turns, set(months))
+    # No row of a later chunk waits for the ones before it: chunks are keys of the last shuffle.
+    assert "chunk" in result._jdf.queryExecution().executedPlan().toString()
+
+
+def test_context_maps_compose_to_the_pass_over_all_turns():
+    """Maps of chunks, found without the text before, against the same chunks after each text."""
+    chance = random.Random(11)
+    topics = [None, "cause", "state", "category", "order_value", "orders", "delivery", "reviews"]
+    befores = [
+        None, "Why did revenue drop in March 2024?", "Which states generate the most revenue?", "Show the KPI overview!",
+        "How did sales change over time", "late deliveries and reviews 2023-11 \ue001", "Reason for the fall of income in May",
+        "What caused the drop in sales, 2024-03 or May 2024?",
+    ]
+    months = frozenset(["ym:2024-03", "my:3-2024", "m:5", "decline"])
+    step = followups._step(months)
+    Row = namedtuple("Row", "question topic month")
+    asked = ["about it", "and 2024-03?", "Why did sales drop", "revenue by state of May 2024", "\ue000 \ue002", "orders"]
+    for _ in range(60):
+        turns = [
+            Row(chance.choice(asked), chance.choice(topics), chance.choice(["", "", None, "2024-03", "May 2024"]))
+            for _ in range(chance.randrange(1, 7))
+        ]
+        quoted = [row._replace(question=contexts.quoted(row.question)) for row in turns]
+        found = contexts.to_json(contexts.context_map(quoted, step, followups.month_of, months))
+        for before in befores:
+            text = before
+            for row in turns:
+                became = followups.rewrite(row.question, row.topic, row.month, text) if text else row.question
+                kind = routing.route_text(" ".join(became.lower().split()))
+                if kind != "unsupported" and (kind != "revenue_change_investigation" or month_key_text(became) in months):
+                    text = became
+            after = contexts.apply_map(found, before, followups.month_of, months)
+            # Only the marks at the end of a text that stays as it is may differ; no turn reads them.
+            assert (after and contexts.bare(after)) == (text and contexts.bare(text)), (before, turns)
+
+
 def test_rewrites():
     rewrite = followups.rewrite
     drop = "Why did revenue drop in March 2024?"
