@@ -27,6 +27,7 @@ from marketlens.plans import delivery, evidence, explain, followups, investigate
 from marketlens.plans.routing import route_questions
 from marketlens.session import new_table_path
 from marketlens.sources import adapter, staging, tables
+from marketlens.streaming import conversations as streamed
 from marketlens_checks.oracle import oracle_queries
 
 try:  # the text operators can be taken away as a whole
@@ -488,6 +489,23 @@ def _resolved(spark, folder):
     return followups.resolve_conversations(_questions(spark, folder), months)
 
 
+def _streamed(spark, folder):
+    """The same conversations as a stream that stops and starts again twice."""
+    _ship_library(spark)
+    streamed.use_state_store(spark)
+    months = followups.answerable_months(evidence_inputs(spark, folder).components)
+    turns = _questions(spark, folder).select("conv_id", "turn", "question")
+    last = turns.agg(F.max("turn")).first()[0] or 0
+    base = new_table_path(spark, "streamed_turns")
+    for part in range(3):
+        arrived = F.floor(F.col("turn") * 3 / (last + 1)) == part
+        turns.filter(arrived).write.mode("append").parquet(f"{base}/turns")
+        arriving = spark.readStream.schema(turns.schema).parquet(f"{base}/turns")
+        streamed.run_available(arriving, f"{base}/resolved", f"{base}/checkpoint", months)
+    resolved = spark.read.schema(streamed.RESOLVED).parquet(f"{base}/resolved")
+    return resolved.withColumn("was_rewritten", F.col("question") != F.col("resolved_question"))
+
+
 def _two_months(spark, folder, function):
     """A change between the last two complete months of the test data."""
     return function(order_items(spark, folder), "2001-07-01", "2001-06-01")
@@ -648,6 +666,7 @@ def _own_queries():
         "FU1_needs_context": _needs_context,
         "FU1_conversation_turns": _conversation_needs_context,
         "FU2_FU3_resolved_conversations": _resolved,
+        "FU3_streamed_conversations": lambda spark, folder: _streamed(spark, folder).drop("was_late"),
         "EX2_prompts": _prompts,
         "EX3_display_markdown": _displayed,
         "EX4_citations": _cited,

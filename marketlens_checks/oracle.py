@@ -1508,6 +1508,7 @@ FROM sized"""
         "FU1_conversation_turns": f"SELECT conv_id, turn, {_leans('text')} AS leans "
         "FROM conversations",
         "FU2_FU3_resolved_conversations": _resolved(),
+        "FU3_streamed_conversations": _resolved(),
         "EX2_prompts": _answers_with(
             f"""
 SELECT question_id, TRUE AS starts_with_question, analysis_type, question, rows,
