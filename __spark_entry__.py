@@ -21,7 +21,7 @@ if HOME not in sys.path:
 
 from marketlens.functions.columns import delay_band_label, delay_band_order
 from marketlens.functions.text import normalize
-from marketlens.operators import model, profile, quality, semantic
+from marketlens.operators import model, profile, quality, semantic, summaries
 from marketlens.operators.reduce import reduce_to
 from marketlens.plans import delivery, evidence, explain, followups, investigate, metrics, revenue
 from marketlens.plans.routing import route_questions
@@ -141,6 +141,25 @@ def _source_row_counts(spark, folder):
     return counted
 
 
+def _malformed(spark, folder):
+    """Items whose lines have lost a field, or have one more, by order; the others are whole."""
+
+    def write(path):
+        lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+        key = F.col("l_orderkey")
+        fields = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+        price = F.when(key % 13 != 0, F.concat(F.lit(',"'), F.col("l_extendedprice").cast("string"), F.lit('"')))
+        more = F.when(key % 13 == 1, F.lit(',"a, b"'))
+        line = F.concat(F.concat_ws(",", *fields), F.coalesce(price, F.lit("")), F.coalesce(more, F.lit("")))
+        # One header per file, as in any folder of CSV files.
+        lines.select(line.alias("order_id,order_item_id,product_id,seller_id,price")).write.option(
+            "header", True
+        ).option("quote", "\u0000").option("sep", "\u0001").csv(path)
+
+    path = _once(spark, folder, "malformed_items", write)
+    return staging.malformed_counts(spark, {"order_items": path})
+
+
 def _from_staging(function, *names):
     def query(spark, folder):
         staged = adapter.staging_from_star_schema(spark, folder)
@@ -157,6 +176,11 @@ def _on_orders(function):
     return lambda spark, folder: function(orders_table(spark, folder))
 
 
+def _report_of_write(spark, folder):
+    """The report of the table as it is built and written, without a scan of it."""
+    return tables.write_validated(_build(spark, folder), new_table_path(spark, "validated_items"))
+
+
 def _raw_lineitem(spark, folder):
     """Lineitem as an order-item table whose line numbers repeat: the grain check has to fail."""
     return spark.read.parquet(f"{folder}/lineitem.parquet").select(
@@ -171,6 +195,14 @@ def _raw_lineitem(spark, folder):
     )
 
 
+def _summarized(function):
+    def query(spark, folder):
+        _ship_library(spark)
+        return function(order_items(spark, folder))
+
+    return query
+
+
 def _sample_values(spark, folder):
     return profile.sample_values(order_items(spark, folder))
 
@@ -547,6 +579,7 @@ def _own_queries():
     metric = semantic.aggregate_metric
     return {
         "SRC1_SRC2_source_row_counts": _source_row_counts,
+        "SRC2_malformed_rows": _malformed,
         "SRC2_staged_orders": _staged("orders"),
         **{
             f"SRC2_staged_{name}": _staged(name)
@@ -583,6 +616,7 @@ def _own_queries():
         "A5_late_delivery_rate": _on_orders(metrics.late_delivery_rate),
         "A6_average_review_score": _on_orders(metrics.average_review_score),
         "A7_business_kpis": _on_orders(metrics.business_kpis),
+        "A7_business_kpis_of_items": _on_table(metrics.business_kpis),
         "A8_monthly_revenue_trend": _on_table(metrics.monthly_revenue_trend),
         "A9_revenue_by_category": _on_table(revenue.revenue_by_category),
         "A10_revenue_by_state": _on_table(revenue.revenue_by_state),
@@ -591,10 +625,12 @@ def _own_queries():
         "A13_complete_monthly_revenue": _on_table(revenue.complete_monthly_revenue),
         "A14_largest_monthly_changes": _on_table(revenue.largest_monthly_revenue_changes),
         "A15_delivery_by_state": _on_orders(delivery.delivery_by_state),
+        "A15_delivery_by_state_of_items": _on_table(delivery.delivery_by_state),
         "A16_delivery_by_category": _on_table(delivery.delivery_by_category),
         "A17_worst_delivery_sellers": _on_table(delivery.worst_delivery_sellers),
         "A18_late_vs_on_time": _on_orders(delivery.late_and_on_time_orders),
         "A19_delivery_review_relationship": _on_orders(delivery.delivery_review_relationship),
+        "A19_delivery_review_relationship_of_items": _on_table(delivery.delivery_review_relationship),
         "A20_state_overview": _on_table(delivery.state_overview),
         "A21_monthly_components": _on_table(
             lambda df: investigate.monthly_revenue_components(df).drop("previous_month_start")
@@ -611,13 +647,16 @@ def _own_queries():
         "Q1_Q13_validation_checks": _on_table(
             lambda df: quality.validation_checks(quality.validate(df))
         ),
+        "Q1_Q13_report_of_write": _report_of_write,
         "Q13_failing_grain": lambda spark, folder: quality.validate(_raw_lineitem(spark, folder)),
         "P1_column_counts": _on_table(profile.column_counts),
         "P2_numeric_statistics": _numeric_statistics,
         "P2_dense_numbers": _dense_numbers,
         "P3_temporal_statistics": _on_table(profile.temporal_statistics),
         "P4_most_common_values": _on_table(profile.most_common_values),
+        "P4_frequent_by_summaries": _summarized(summaries.frequent_values),
         "P5_sample_values": _sample_values,
+        "P5_smallest_by_summaries": _summarized(summaries.smallest_values),
         "P6_table_profile": _profile,
         "S1_column_registry": _registry,
         "S2_fallback_semantics": _fallback,

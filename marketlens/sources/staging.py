@@ -47,15 +47,67 @@ def read_csv_source(spark, name, path, on_bad_value="fail", multiline=MULTILINE)
     return raw.select(*[getattr(F.col(f.name), cast)(f.dataType).alias(f.name) for f in fields])
 
 
+def _csv_reader(spark, multiline):
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+
+
 def read_raw_csv(spark, path, multiline=False):
-    return (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
+    return _csv_reader(spark, multiline).csv(path)
+
+
+MALFORMED = "_corrupt_record"
+
+
+def _with_widths(spark, name, path, multiline):
+    """The first field of every record, the record itself if it is malformed, and their widths."""
+    header = read_raw_csv(spark, path, name in multiline).columns
+    quoted = [f"`{c.replace('`', '``')}`" for c in header]
+    schema = ", ".join(f"{c} string" for c in quoted) + f", {MALFORMED} string"
+    # Without pruning: a record is only judged by the columns that are parsed.
+    reader = _csv_reader(spark, name in multiline).schema(schema).option("columnPruning", False)
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).csv(path)
+    # A comma counts outside quotes only: what is quoted is taken away first.
+    bare = F.regexp_replace(MALFORMED, '"([^"]|"")*"', "")
+    return rows.select(
+        F.col(quoted[0]).alias("first_field"),
+        MALFORMED,
+        F.size(F.split(bare, ",")).alias("n_fields"),
+        F.lit(len(header)).alias("expected_fields"),
     )
 
 
+def malformed_rows(spark, name, path, multiline=MULTILINE):
+    """Records of a source file that don't have as many fields as its header.
+
+    Columns first_field, `_corrupt_record` (the record as it stands in the file), n_fields and
+    expected_fields. The reader fills a short record with NULLs and cuts a long one; neither is an
+    error to it unless it is given a schema and a column for such records, as here. An empty line
+    is no record.
+    """
+    return _with_widths(spark, name, path, multiline).filter(F.col(MALFORMED).isNotNull())
+
+
+def malformed_counts(spark, paths, multiline=MULTILINE):
+    """Per source, in one scan: records as wide as the header, shorter and longer ones, and those
+    whose first field, the key of most sources, is empty."""
+    counted = None
+    for name, path in paths.items():
+        is_bad = F.col(MALFORMED).isNotNull()
+        width, expected = F.col("n_fields"), F.col("expected_fields")
+        one = (
+            _with_widths(spark, name, path, multiline)
+            .agg(
+                F.count_if(~is_bad).alias("good_rows"),
+                F.count_if(is_bad & (width < expected)).alias("too_few_fields"),
+                F.count_if(is_bad & (width > expected)).alias("too_many_fields"),
+                F.count_if(F.col("first_field").isNull()).alias("without_key"),
+            )
+            .select(F.lit(name).alias("source"), "*")
+        )
+        counted = one if counted is None else counted.unionByName(one)
+    return counted
+
+
 def bad_value_counts(spark, name, path, multiline=MULTILINE):
     """Rows (column_name, bad_values) of values present in the file that do not parse."""
     raw = read_raw_csv(spark, path, name in multiline)

@@ -1,8 +1,10 @@
 """Write, read and describe the order-item table."""
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from marketlens.operators import quality
 from marketlens.operators.model import build_order_items
 from marketlens.operators.reduce import orders_of
 from marketlens.schema import ORDER_ITEMS
@@ -15,12 +17,23 @@ def write_order_items(df, path):
     The rebalance hint lets adaptive execution size the files: small months are merged into one
     task and a month that holds much of the data is split over many.
     """
-    (
-        df.hint("rebalance", "purchase_month_start")
-        .write.mode("overwrite")
-        .partitionBy("purchase_month_start")
-        .parquet(path)
-    )
+    _write_by_month(df.hint("rebalance", "purchase_month_start"), path)
+
+
+def _write_by_month(rows, path):
+    rows.write.mode("overwrite").partitionBy("purchase_month_start").parquet(path)
+
+
+def write_validated(df, path):
+    """As `write_order_items`; returns the validation report of what was written.
+
+    The checks of values are observed by the tasks that write, so that only the two key columns are
+    read again. A write that fails raises, and there is no report.
+    """
+    observation = Observation("order_item_checks")
+    rows = df.hint("rebalance", "purchase_month_start").observe(observation, *quality.value_checks())
+    _write_by_month(rows, path)
+    return quality.report_of_write(read_order_items(df.sparkSession, path), observation.get)
 
 
 def write_orders(items, path):

@@ -1164,6 +1164,14 @@ def oracle_queries():
     worst_state = f"""
 worst AS (SELECT customer_state AS s, * FROM ({_scorecard("per_order", "customer_state", 100)}) LIMIT 1)"""
     return {
+        "SRC2_malformed_rows": """
+SELECT source, CAST(sum(good) AS BIGINT) AS good_rows, CAST(sum(few) AS BIGINT) AS too_few_fields,
+       CAST(sum(many) AS BIGINT) AS too_many_fields, CAST(0 AS BIGINT) AS without_key
+FROM (
+    SELECT 'order_items' AS source, CAST(l_orderkey % 13 > 1 AS INT) AS good,
+           CAST(l_orderkey % 13 = 0 AS INT) AS few, CAST(l_orderkey % 13 = 1 AS INT) AS many
+    FROM lineitem)
+GROUP BY source""",
         "SRC1_SRC2_source_row_counts": _on(
             _union(
                 [
@@ -1233,6 +1241,7 @@ worst AS (SELECT customer_state AS s, * FROM ({_scorecard("per_order", "customer
         ),
         "A6_average_review_score": _on("SELECT average_review_score FROM kpis", PER_ORDER, KPIS),
         "A7_business_kpis": _on("SELECT * FROM kpis", PER_ORDER, KPIS),
+        "A7_business_kpis_of_items": _on("SELECT * FROM kpis", PER_ORDER, KPIS),
         "A8_monthly_revenue_trend": _on(TREND, _months(0), GROWTH),
         "A9_revenue_by_category": _segments("product_category"),
         "A10_revenue_by_state": _segments("customer_state"),
@@ -1248,6 +1257,7 @@ worst AS (SELECT customer_state AS s, * FROM ({_scorecard("per_order", "customer
             GROWTH,
         ),
         "A15_delivery_by_state": _on(_scorecard("per_order", "customer_state", 100), PER_ORDER),
+        "A15_delivery_by_state_of_items": _on(_scorecard("per_order", "customer_state", 100), PER_ORDER),
         "A16_delivery_by_category": _on(
             _scorecard("units", "product_category", 100), _units("product_category")
         ),
@@ -1260,6 +1270,15 @@ worst AS (SELECT customer_state AS s, * FROM ({_scorecard("per_order", "customer
   round(avg(delivery_delay_days), 2) + 0.0 AS average_delay_days,
   round(median(delivery_delay_days), 2) + 0.0 AS median_delay_days,
   round(avg(score), 2) AS average_review_score
+FROM labelled WHERE band IS NOT NULL GROUP BY label, band""",
+            PER_ORDER,
+            BANDS,
+        ),
+        "A19_delivery_review_relationship_of_items": _on(
+            f"""SELECT label AS delivery_delay_band, {REVIEW_COUNTS},
+  round(avg(delivery_delay_days), 2) + 0.0 AS average_delay_days,
+  round(median(delivery_delay_days), 2) + 0.0 AS median_delay_days,
+  round(avg(score), 2) AS average_review_score
 FROM labelled WHERE band IS NOT NULL GROUP BY label, band""",
             PER_ORDER,
             BANDS,
@@ -1309,6 +1328,7 @@ WHERE a.analysis_type = 'revenue_change_investigation'""",
             ASKED_MONTHS,
         ),
         "Q1_Q13_validation_report": _on("SELECT * FROM judged", _report("oi")),
+        "Q1_Q13_report_of_write": _on("SELECT * FROM judged", _report("oi")),
         "Q1_Q13_validation_checks": _checks(),
         "Q13_failing_grain": f"WITH {RAW_LINEITEM.strip()},\n{_report('raw_items').strip()}\n"
         "SELECT * FROM judged",
@@ -1356,11 +1376,17 @@ WHERE a.analysis_type = 'revenue_change_investigation'""",
             )
         ),
         "P4_most_common_values": _on(_leading(CATEGORICAL, "frequency DESC, value")),
+        "P4_frequent_by_summaries": _on(_leading(CATEGORICAL, "frequency DESC, value")),
         "P5_sample_values": _on(
             "SELECT column_name, rank, value FROM (\n"
             + _leading([n for n, _ in TYPE_NAMES], "value")
             + ")"
         ),
+        "P5_smallest_by_summaries": _on(
+            "SELECT column_name, rank, value FROM (\n"
+            + _leading([n for n, _ in TYPE_NAMES], "value")
+            + ")"
+        ),
         "P6_table_profile": _profile(),
         "S1_column_registry": _registry(),
         "S2_fallback_semantics": _fallback(),
