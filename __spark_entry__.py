@@ -21,7 +21,7 @@ if HOME not in sys.path:
 
 from marketlens.functions.columns import delay_band_label, delay_band_order
 from marketlens.functions.text import normalize
-from marketlens.operators import model, profile, quality, semantic, summaries
+from marketlens.operators import model, profile, quality, semantic, sketches, summaries
 from marketlens.operators.reduce import reduce_to
 from marketlens.plans import delivery, evidence, explain, followups, investigate, metrics, revenue
 from marketlens.plans.routing import route_questions
@@ -203,6 +203,16 @@ def _summarized(function):
     return query
 
 
+def _merged_sketches(spark, folder):
+    """Known values by merged sketches of the months, and whether distinct counts are within bounds."""
+    items = order_items(spark, folder)
+    merged = sketches.merged_profile(sketches.month_sketches(items))
+    exact = profile.column_counts(items).select("column_name", "unique_count")
+    off = F.abs(F.col("distinct_estimate") - F.col("unique_count"))
+    allowed = F.greatest(F.lit(1.0), 5 * sketches.DISTINCT_ERROR * F.col("unique_count"))
+    return merged.join(exact, "column_name").select("column_name", "known_values", (off <= allowed).alias("is_near"))
+
+
 def _sample_values(spark, folder):
     return profile.sample_values(order_items(spark, folder))
 
@@ -650,6 +660,7 @@ def _own_queries():
         "Q1_Q13_report_of_write": _report_of_write,
         "Q13_failing_grain": lambda spark, folder: quality.validate(_raw_lineitem(spark, folder)),
         "P1_column_counts": _on_table(profile.column_counts),
+        "P1_merged_month_sketches": _merged_sketches,
         "P2_numeric_statistics": _numeric_statistics,
         "P2_dense_numbers": _dense_numbers,
         "P3_temporal_statistics": _on_table(profile.temporal_statistics),

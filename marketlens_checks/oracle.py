@@ -1333,6 +1333,13 @@ WHERE a.analysis_type = 'revenue_change_investigation'""",
         "Q13_failing_grain": f"WITH {RAW_LINEITEM.strip()},\n{_report('raw_items').strip()}\n"
         "SELECT * FROM judged",
         "P1_column_counts": _column_counts(),
+        "P1_merged_month_sketches": _on(
+            " UNION ALL ".join(
+                f"SELECT '{n}' AS column_name, count({n}) AS known_values, TRUE AS is_near FROM oi"
+                for n, _ in TYPE_NAMES
+                if n != "purchase_month_start"
+            )
+        ),
         "P2_numeric_statistics": _on(
             _union(
                 [
