@@ -108,6 +108,7 @@ ROUTES = (
     Route(MONTHLY_TREND, "question combines revenue and time-based change", (REVENUE, TREND)),
     Route(CORE_KPIS, "question requests a business KPI overview", (OVERVIEW,)),
 )
+# Fixed values
 EMPTY_RULE = "empty_question"
 NO_RULE = "no supported deterministic route matched"
 

@@ -801,7 +801,7 @@ RECORD_TEXTS = {
         "Item revenue leaves out freight and is not profit.|Without product cost there is no margin.",
     ),
     "monthly_revenue_trend": (
-        "grain=calendar month|growth_method=(current month - previous month) / previous month|"
+        "grain=calendar month|growth_method=change against the month before, as a share of its revenue|"
         "metric=SUM(item_price)|minimum_order_count_per_month=100",
         "Months with fewer than 100 orders count as incomplete and are left out.|"
         "That minimum suits this data and is no general standard.",
@@ -824,12 +824,12 @@ RECORD_TEXTS = {
     ),
     "late_vs_on_time": (
         "comparison_groups=late, on_time|grain=one row per order|"
-        "review_metric=average review score among reviewed orders",
+        "review_metric=mean score of the orders that have a review",
         "The gap is an association; lateness is not shown to cause it.|"
         "Only orders with a review enter the average scores.",
     ),
     "revenue_change_investigation": (
-        "average_order_value_metric=item revenue divided by distinct orders|"
+        "average_order_value_metric=item revenue per order of the month|"
         "category_decomposition=change of item revenue by product category|"
         "comparison_grain=complete calendar month|minimum_order_count_per_month=100|"
         "order_volume_metric=COUNT(DISTINCT order_id)|revenue_metric=SUM(item_price)|"
@@ -853,9 +853,9 @@ EMPTY_TEXTS = {
         "minimum_order_count_per_month=100",
         "A trend needs at least two complete months.",
     ),
-    "revenue_by_category": ("No category revenue evidence was available.", "", ""),
-    "revenue_by_state": ("No state revenue evidence was available.", "", ""),
-    "delivery_by_state": ("No state delivery evidence was available.", "", ""),
+    "revenue_by_category": ("There is no revenue by category to report.", "", ""),
+    "revenue_by_state": ("There is no revenue by state to report.", "", ""),
+    "delivery_by_state": ("No state has enough orders to be compared.", "", ""),
     "late_vs_on_time": ("The data does not hold both late and on-time orders.", "", ""),
 }
 
@@ -917,8 +917,8 @@ SELECT 'revenue_change_investigation', {month("purchase_month_start")}, 'Item re
   || {two(f"abs({change})")} || '% from ' || {month("previous_month_start")} || ' to '
   || {month("purchase_month_start")} || ', by ' || {money("revenue_change_amount")}
   || '. Orders changed by ' || {two(orders)} || '% and the average order value by ' || {two(value)}
-  || '%; the larger relative movement was in ' || CASE WHEN abs({orders}) >= abs({value})
-    THEN 'order volume' ELSE 'average order value' END || '.'
+  || '%; relatively, the ' || CASE WHEN abs({orders}) >= abs({value})
+    THEN 'order volume' ELSE 'average order value' END || ' moved more.'
 FROM components WHERE previous_month_start IS NOT NULL""",
         "SELECT 'unsupported', NULL, 'This question is not supported by the available analyses.'",
     ]
