@@ -38,6 +38,19 @@ def slices(batches, column, limit):
             yield batch.slice(begin)
 
 
+def give_back():
+    """Give memory that a reused worker no longer needs back to the system, where the system can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # Only glibc has this.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def flat(column):
     """(bytes, offsets) of a string column, null as empty; the bytes aren't copied."""
     if column.null_count:

@@ -138,6 +138,11 @@ def encoder(path):
     return _encoders[path]
 
 
+def forget_encoders():
+    """Let go what a reused worker has met; tasks of operators that encode nothing begin with this."""
+    _encoders.clear()
+
+
 def with_end(ids, before, end_id):
     """The ids with one more at the end of each text."""
     n = len(before) - 1

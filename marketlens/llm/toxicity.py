@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from marketlens.llm import textbytes
+from marketlens.llm import textbytes, tokens
 from marketlens.llm.runtime import ship
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +25,7 @@ LEAST_TEXTS = 4
 STEMS = (4, 5, 6)
 #: Words that far apart are near each other.
 NEAR = 5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 KNOWN_WORDS = 500_000
 
 #: Words of the second person in English, German, French and Spanish.
@@ -253,6 +253,8 @@ def _toxic_grams(rows):
     """(entry, n_toxic, n_clean) of the texts of some batches, added up per batch."""
 
     def count(batches):
+        tokens.forget_encoders()
+        textbytes.give_back()
         for part in textbytes.slices(batches, 0, SLICE_BYTES):
             counts = {}
             texts, labels = part.column(0).to_pylist(), part.column(1).to_pylist()
@@ -307,6 +309,7 @@ def _feature_rows(rows, lexicon):
     """Rows (text, toxic, fold) as (toxic, fold, features)."""
 
     def make(batches):
+        tokens.forget_encoders()
         words = Words(lexicon)
         for part in textbytes.slices(batches, 0, SLICE_BYTES):
             x = features(*textbytes.flat(part.column(0)), words)
@@ -367,11 +370,15 @@ def scored(docs, classifier, text_col="text", prefix=""):
     shared = spark.sparkContext.broadcast(classifier)
 
     def score(batches):
+        tokens.forget_encoders()
+        textbytes.give_back()
         model = shared.value
         words = Words(model.lexicon)
         for part in textbytes.slices(batches, column, SLICE_BYTES):
             p = model.probability(features(*textbytes.flat(part.column(column)), words))
             found = [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(part.columns + found, all_names)
+        words = part = found = p = None
+        textbytes.give_back()
 
     return kept.mapInArrow(score, schema)

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from marketlens.llm import packing, tokenfiles
+from marketlens.llm import packing, textbytes, tokenfiles, tokens
 from marketlens.llm.runtime import stored
 from marketlens.llm.textbytes import flat
 from marketlens.llm.tokens import Encoder
@@ -193,3 +193,16 @@ def test_packs_pieces_without_gaps(spark, monkeypatch):
         assert at == len(ids)
     assert sum(r.length for r in found) > 64 * (len(by_sequence) - 2)
     assert packing.pack(frame(spark, []), path).collect() == []
+
+
+def test_a_forgotten_encoder_gives_the_same_ids_again():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    data, offsets = textbytes.flat(pa.array(["some words, some more", None, "", "more  words"]))
+    first = tokens.encoder(path)
+    ids, before = first.encode(data, offsets)
+    tokens.forget_encoders()
+    textbytes.give_back()
+    second = tokens.encoder(path)
+    again, ends = second.encode(data, offsets)
+    assert second is not first
+    assert ids.tolist() == again.tolist() and before.tolist() == ends.tolist()
