@@ -330,7 +330,9 @@ def fit(docs, labels, learn=None, id_col="doc_id", text_col="text"):
     """A classifier from at most SAMPLE_ROWS labelled rows whose id satisfies `learn`.
 
     `labels` has the id and `toxic`, 0 or 1; rows without either are left out, rows that repeat
-    count each time. Only the features of the sample reach the driver.
+    count each time. If ids repeat, the sample can have more documents than labels: the lexicon is
+    learned from all of them, the trees from the 2 * SAMPLE_ROWS with the smallest hashes of their
+    features, the same ones in every run. Only the features of the sample reach the driver.
     """
     ship(docs.sparkSession)
     own = F.col(id_col)
@@ -344,8 +346,10 @@ def fit(docs, labels, learn=None, id_col="doc_id", text_col="text"):
     texts = docs.select(own.cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "label_id").select("text", "toxic", "fold")
     lexicon = learned_lexicon(rows)
-    # Rows as a bounded number of feature vectors, in an order that doesn't depend on the run.
-    found = _feature_rows(rows, lexicon).limit(2 * SAMPLE_ROWS).toPandas()
+    # A bounded number of feature vectors; which ones, and their order, doesn't depend on the run.
+    vectors = _feature_rows(rows, lexicon)
+    vectors = vectors.orderBy(F.xxhash64("features"), "features", "toxic", "fold")
+    found = vectors.limit(2 * SAMPLE_ROWS).toPandas()
     x = np.array(found["features"].tolist()).reshape(-1, len(FEATURES))
     y, fold = found["toxic"].to_numpy(), found["fold"].to_numpy()
     order = np.lexsort((*x.T, fold, y))

@@ -98,3 +98,21 @@ def test_words_are_forgotten_and_met_again(monkeypatch):
     data = [flat(pa.array([f"blarg one{i} two{i} three{i}", "you"])) for i in range(5)]
     rows = [features(*d, seen) for d in data]
     assert all((r == rows[0]).all() for r in rows)
+
+
+def test_repeated_ids_give_the_same_rows_however_they_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 4)
+    rows = [(i % 4, "word " * (1 + i % 7) + "!" * (i % 5)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    kept = []
+
+    class Rows:
+        def __init__(self, lexicon, x, y, fold):
+            kept.append((x.tolist(), y.tolist(), fold.tolist()))
+
+    monkeypatch.setattr(toxicity, "Classifier", Rows)
+    for n, order in ((1, "text"), (7, "doc_id"), (3, "text")):
+        toxicity.fit(docs.orderBy(order).repartition(n), labels)
+    assert len(kept[0][0]) == 8
+    assert kept[0] == kept[1] == kept[2]
