@@ -38,19 +38,24 @@ def translated_products(products, translation):
     )
 
 
+def with_customers(orders, customers):
+    known = customers.select("customer_id", "customer_unique_id", "customer_city", "customer_state")
+    return orders.join(known, "customer_id", "left")
+
+
+def with_summaries(orders, payments, reviews):
+    """Orders with the summaries of their payments and reviews, at most one row of each."""
+    return orders.join(payments, "order_id", "left").join(reviews, "order_id", "left")
+
+
 def order_side(orders, customers, payments, reviews):
     """Everything known at order grain; each join adds at most one row per order."""
-    per_order = (
-        orders.join(payment_summary(payments), "order_id", "left")
-        .join(review_summary(reviews), "order_id", "left")
-        .join(
-            customers.select(
-                "customer_id", "customer_unique_id", "customer_city", "customer_state"
-            ),
-            "customer_id",
-            "left",
-        )
-    )
+    summarized = with_summaries(orders, payment_summary(payments), review_summary(reviews))
+    return order_columns(with_customers(summarized, customers))
+
+
+def order_columns(per_order):
+    """The columns of the order-item table that orders, customers and summaries bring."""
     purchased = F.col("order_purchase_timestamp").cast("timestamp_ntz")
     delivered = F.col("order_delivered_customer_date").cast("timestamp_ntz")
     estimated = F.col("order_estimated_delivery_date").cast("timestamp_ntz")
@@ -119,9 +124,15 @@ def build_order_items(staging, rows_per_salt=None):
         staging["payments"],
         staging["reviews"],
     )
-    joined = item_side(
+    sold = item_side(
         salt_rows(items, hot, "order_id"),
         staging["products"],
         staging["category_translation"],
-    ).join(replicate_keyed(orders, hot, "order_id"), ["order_id", SALT])
+    )
+    return salted_join(sold, orders, hot)
+
+
+def salted_join(salted_items, orders, hot):
+    """The order-item table from items that carry a salt and the rows of their orders."""
+    joined = salted_items.join(replicate_keyed(orders, hot, "order_id"), ["order_id", SALT])
     return joined.select(*ORDER_ITEMS.fieldNames())

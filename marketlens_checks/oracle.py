@@ -1228,6 +1228,7 @@ GROUP BY source""",
         ),
         "M5_analytical_table": _on(f"SELECT {order_items} FROM oi"),
         "M5_split_orders": _on(f"SELECT {order_items} FROM oi"),
+        "M5_bucketed_orders": _on(f"SELECT {order_items} FROM oi"),
         "A1_item_revenue": _on(
             "SELECT coalesce(round(sum(item_price), 2), 0) AS item_revenue FROM oi"
         ),
