@@ -7,7 +7,7 @@ from marketlens.schema import SOURCES
 
 
 #: Sources whose texts can hold line breaks inside quotes. A file of these is read in one piece,
-#: so large ones should come as many files.
+#: so large ones should come as many files; `whole_files` finds them before anything is read.
 MULTILINE = ("reviews",)
 
 
@@ -31,6 +31,38 @@ def required_files(spark, folder, files=None):
     return paths
 
 
+def source_files(spark, paths, multiline=MULTILINE):
+    """Rows (source, file, n_bytes, is_split) of the files behind each source.
+
+    Only listed, not read. `is_split` is false for a file that one task has to read whole: its
+    source can hold line breaks in quotes, or it is compressed in a form that has no block borders.
+    """
+    listed = None
+    for name, path in paths.items():
+        file = F.col("path")
+        packed = F.lower(file).rlike(r"\.(gz|gzip|deflate|zst|snappy|lz4)$")
+        one = (
+            spark.read.format("binaryFile")
+            .load(path)
+            .select(
+                F.lit(name).alias("source"),
+                file.alias("file"),
+                F.col("length").alias("n_bytes"),
+                (F.lit(name not in multiline) & ~packed).alias("is_split"),
+            )
+        )
+        listed = one if listed is None else listed.unionByName(one)
+    return listed
+
+
+def whole_files(spark, paths, over_bytes=1 << 30, multiline=MULTILINE):
+    """The files larger than `over_bytes` that a single task would have to read, largest first."""
+    files = source_files(spark, paths, multiline)
+    return files.filter(~F.col("is_split") & (F.col("n_bytes") > over_bytes)).orderBy(
+        F.desc("n_bytes"), "file"
+    )
+
+
 def read_csv_source(spark, name, path, on_bad_value="fail", multiline=MULTILINE):
     """One headered CSV; columns are found by name and cast to the known types.
 
