@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from marketlens.plans import followups
@@ -54,3 +55,48 @@ def test_answers_are_forgotten(resolved):
     assert kept.resolved_question == "Which states contributed most to the revenue change in March 2024?"
     assert (kept.answered, gone.answered) == (True, False)
     assert gone.resolved_question == "What about states?"
+
+
+class CountedState:
+    """A state variable in memory that counts the messages it would send to the JVM."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.listed = calls, None, []
+
+    def get(self):
+        self.calls.append("get")
+        return self.listed or self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def appendList(self, values):
+        self.calls.append("append")
+        self.listed = [*self.listed, *values]
+
+
+class CountedHandle:
+    def __init__(self):
+        self.calls = []
+
+    def getValueState(self, name, schema, ttl=None):
+        return CountedState(self.calls)
+
+    getListState = getValueState
+
+
+def test_a_conversation_reads_and_writes_its_state_once_per_batch():
+    turn_type = Row("conv_id", "turn", "question", "analysis_type", "leans", "answered", "topic", "month")
+    handle = CountedHandle()
+    processor = conversations.LastAnswers(MONTHS)
+    processor.init(handle)
+    turns = [turn_type(1, t, f"reviews {t}", "core_kpis", False, True, None, None) for t in range(500)]
+    out = list(processor.handleInputRows((1,), iter(reversed(turns)), None))
+    assert [row.turn for row in out] == list(range(500))
+    assert sorted(handle.calls) == ["append", "get", "get", "update", "update"]
+    # A late turn that leans is the only one for which the earlier answers are read.
+    late = turn_type(1, 7, "What about it?", "unsupported", True, False, None, None)
+    found = list(processor.handleInputRows((1,), iter([late]), None))
+    assert [row.was_late for row in found] == [True]
+    assert handle.calls[5:].count("get") == 3
