@@ -102,6 +102,14 @@ def test_an_order_with_very_many_items_is_spread(spark, staged, built):
     assert spread.exceptAll(plain).count() == 0
 
 
+def test_without_hot_orders_nothing_is_salted(spark, staged):
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert skew.SALT not in plan(model.build_order_items(staged, rows_per_salt=10**6))
+    assert skew.SALT in plan(model.build_order_items(staged, rows_per_salt=2))
+
+
 def test_every_hot_order_is_split(spark, staged):
     """120 orders of 100 items each: all are found, spread and joined, none is left whole."""
     items = staged["order_items"].filter("order_item_id IS NOT NULL").limit(50)
