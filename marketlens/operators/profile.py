@@ -5,6 +5,8 @@ values of all columns at once; distinct counts, frequent values, samples and med
 from those counts.
 """
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,32 +34,66 @@ def _quoted(name):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def value_counts(df, columns=None):
-    """Rows (column_name, value as text, n) of the distinct known values of the columns."""
+def _counted_as(f):
+    """The type in which the values of a column are counted: its own if equal values have one text."""
+    kind = f.dataType
+    if isinstance(kind, T.IntegralType):
+        return T.LongType()
+    own = (T.DoubleType, T.FloatType, T.DecimalType, T.DateType, T.TimestampNTZType)
+    return kind if isinstance(kind, own) else T.StringType()
+
+
+def _counted(df, fields, kind):
+    """Rows (column_name, value as text, n, code, number) of columns counted as one type."""
     cells = []
-    for f in df.schema.fields:
-        if columns is not None and f.name not in columns:
-            continue
-        c = _quoted(f.name)
+    for i, f in enumerate(fields):
+        c = _quoted(f.name).cast(kind)
         # Adding zero makes the two double zeros one value.
-        c = c + F.lit(0.0) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
-        cells.append(F.struct(F.lit(f.name).alias("column_name"), c.cast("string").alias("value")))
-    return (
+        c = c + F.lit(0.0).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else c
+        cells.append(F.struct(F.lit(i).alias("_column"), c.alias("value")))
+    counted = (
         df.select(F.inline(F.array(*cells)))
         .filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
+        .groupBy("_column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    names = F.array(*[F.lit(f.name) for f in fields])
+    number = isinstance(kind, T.NumericType)
+    return counted.select(
+        F.get(names, F.col("_column")).alias("column_name"),
+        F.col("value").cast("string").alias("value"),
+        "n",
+        (sort_code(F.col("value"), kind) if number else F.lit(None).cast("bigint")).alias("code"),
+        (F.col("value") if number else F.lit(None)).cast("double").alias("number"),
+    )
+
+
+def counted_values(df, columns=None):
+    """`value_counts`, and of numbers their sort code and themselves as doubles.
+
+    The columns of one type are counted together, as that type: a number or a time has a key of
+    eight bytes, and only its distinct values become texts. A column that no task has to hold
+    beside those of all other types also needs less memory.
+    """
+    by_type = {}
+    for f in df.schema.fields:
+        if columns is None or f.name in columns:
+            by_type.setdefault(_counted_as(f), []).append(f)
+    if not by_type:
+        schema = "column_name string, value string, n bigint, code bigint, number double"
+        return df.sparkSession.createDataFrame([], schema)
+    counted = [_counted(df, fields, kind) for kind, fields in by_type.items()]
+    return reduce(lambda a, b: a.unionByName(b), counted)
+
+
+def value_counts(df, columns=None):
+    """Rows (column_name, value as text, n) of the distinct known values of the columns."""
+    return counted_values(df, columns).select("column_name", "value", "n")
 
 
 def column_counts(df, counts=None):
     """Per column: type, NULLs, distinct values and their shares of the rows (0 if no rows)."""
-    fields = df.schema.fields
-    known = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count(_quoted(f.name)).alias(f"_known_{i}") for i, f in enumerate(fields)],
-    )
-    per_column = known.select(
+    per_column = df.agg(F.count(F.lit(1)).alias("_rows")).select(
         "_rows",
         F.inline(
             F.array(
@@ -66,9 +102,8 @@ def column_counts(df, counts=None):
                         F.lit(i + 1).alias("position"),
                         F.lit(f.name).alias("column_name"),
                         F.lit(f.dataType.simpleString()).alias("database_type"),
-                        F.col(f"_known_{i}").alias("_known"),
                     )
-                    for i, f in enumerate(fields)
+                    for i, f in enumerate(df.schema.fields)
                 ]
             )
         ),
@@ -76,9 +111,10 @@ def column_counts(df, counts=None):
     distinct = (
         (counts if counts is not None else value_counts(df))
         .groupBy("column_name")
-        .agg(F.count(F.lit(1)).alias("unique_count"))
+        .agg(F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("_known"))
     )
-    nulls, rows = F.col("_rows") - F.col("_known"), F.col("_rows")
+    rows = F.col("_rows")
+    nulls = rows - F.coalesce("_known", F.lit(0))
     unique = F.coalesce("unique_count", F.lit(0))
     return per_column.join(distinct, "column_name", "left").select(
         "position",
@@ -121,7 +157,10 @@ def _per_column(df, columns, kind, statistics):
 
 
 def numeric_statistics(df, counts=None):
-    """Minimum, maximum, mean and exact median of every numeric column."""
+    """Minimum, maximum, mean and exact median of every numeric column.
+
+    `counts` are the stored `counted_values` of the table, if there are any.
+    """
     columns = _columns(df, NUMERIC)
     bounds = _per_column(
         df,
@@ -133,21 +172,11 @@ def numeric_statistics(df, counts=None):
             "mean": lambda c: F.avg(c).cast("double"),
         },
     )
-    counts = counts if counts is not None else stored(value_counts(df, columns), "value_counts")
-    # Each text goes back to the type it was made from, so that large numbers stay exact.
-    by_type = {}
-    for f in df.schema.fields:
-        if f.name in columns:
-            by_type.setdefault(f.dataType, []).append(f.name)
-    code = F.lit(None).cast("bigint")
-    for kind, names in by_type.items():
-        own = sort_code(F.col("value").cast(kind), kind)
-        code = F.when(F.col("column_name").isin(names), own).otherwise(code)
+    counts = counts if counts is not None else stored(counted_values(df, columns), "value_counts")
     numbers = counts.filter(F.col("column_name").isin(columns)).select(
-        "column_name", code.alias("code"), F.col("value").cast("double").alias("value"), "n"
+        "column_name", "code", F.col("number").alias("value"), "n"
     )
-    # Stored: the codes are long expressions, and several steps read them.
-    medians = exact_median(stored(numbers, "codes"), ["column_name"], small_keys=True)
+    medians = exact_median(numbers, ["column_name"], small_keys=True)
     return bounds.join(medians, "column_name", "left")
 
 
@@ -189,8 +218,8 @@ def sample_values(df, k=5, counts=None):
 def profile_table(df):
     """One row per column with all of the above; statistics that do not apply are NULL."""
     # One folder per column, so each statistic reads the columns it is about.
-    counts = stored(value_counts(df), "value_counts", "column_name").select(
-        "column_name", "value", "n"
+    counts = stored(counted_values(df), "value_counts", "column_name").select(
+        "column_name", "value", "n", "code", "number"
     )
 
     def collected(rows, entry, name):

@@ -145,3 +145,23 @@ def test_governed_aggregation(spark):
         value("customer_state", "group_by")
     with pytest.raises(ValueError):
         value("delivery_days", by=["item_price"])
+
+
+def test_numbers_and_times_are_not_counted_as_texts(spark):
+    """Only columns of texts have texts as keys; the counts of a column of each type are right."""
+    df = spark.sql(
+        "SELECT id % 3 AS whole, (id % 4) / 2.0D AS share, CAST(id % 5 AS decimal(9,2)) AS exact, id % 2 = 0 AS flag, "
+        "CAST(id % 6 AS string) AS text, CAST(date_add(DATE'2001-01-01', CAST(id % 7 AS int)) AS timestamp_ntz) AS at, "
+        "CAST(id % 3 AS smallint) AS small FROM range(840)"
+    )
+    counts = profile.value_counts(df)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_count(1)") == 5
+    found = {}
+    for r in counts.collect():
+        found.setdefault(r.column_name, {})[r.value] = r.n
+    assert found["whole"] == found["small"] == {"0": 280, "1": 280, "2": 280}
+    assert found["share"] == {"0.0": 210, "0.5": 210, "1.0": 210, "1.5": 210}
+    assert found["exact"] == {f"{i}.00": 168 for i in range(5)}
+    assert found["flag"] == {"true": 420, "false": 420}
+    assert found["at"] == {f"2001-01-0{i + 1} 00:00:00": 120 for i in range(7)}
