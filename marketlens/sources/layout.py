@@ -124,4 +124,5 @@ def build_from_layout(spark, folder):
     hot = by_order["hot_orders"]
     # As many hot orders as tasks, twice, at most: few rows go to the salts.
     their_orders = orders.join(F.broadcast(hot.select(KEY)), KEY, "left_semi")
-    return table.unionByName(model.salted_join(by_order["hot_order_items"], their_orders, hot))
+    salted = model.salted_join(by_order["hot_order_items"], their_orders, hot)
+    return table.unionByName(salted.select(*ORDER_ITEMS.fieldNames()))

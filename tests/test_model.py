@@ -110,6 +110,18 @@ def test_without_hot_orders_nothing_is_salted(spark, staged):
     assert skew.SALT in plan(model.build_order_items(staged, rows_per_salt=2))
 
 
+def test_no_shuffle_carries_what_other_columns_give(spark, staged, built):
+    """Days, flags and totals are computed above the exchange that gathers the months."""
+    dealt = model.build_order_items(staged, dealt_by="purchase_month_start")
+    dealt_rows = dealt._jdf.queryExecution().optimizedPlan().children().apply(0)
+    assert dealt_rows.nodeName() == "RebalancePartitions"
+    carried = dealt_rows.output().mkString(" ")
+    for name in ("delivery_days", "is_late_delivery", "purchase_year", "item_total_value"):
+        assert name not in carried and name in dealt.columns
+    assert dealt.columns == built.columns
+    assert dealt.exceptAll(built).count() == built.exceptAll(dealt).count() == 0
+
+
 def test_every_hot_order_is_split(spark, staged):
     """120 orders of 100 items each: all are found, spread and joined, none is left whole."""
     items = staged["order_items"].filter("order_item_id IS NOT NULL").limit(50)
