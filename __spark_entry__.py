@@ -40,6 +40,8 @@ except ModuleNotFoundError as missing:
     text_queries = None
 
 FLAGSHIP_FOLDER = "/root/testdata/sf0.001"
+#: Rows of a source file, which is packed.
+CSV_ROWS = 1_000_000
 
 _stored: dict[tuple[str, str, str], object] = {}
 
@@ -114,7 +116,9 @@ def orders_table(spark, folder):
 def _csv_folder(spark, folder):
     def write(path):
         for name, df in adapter.staging_from_star_schema(spark, folder).items():
-            df.write.option("header", True).csv(f"{path}/{name}.csv")
+            # One task reads a packed file whole, so the number of its rows is bounded.
+            rows = df.write.option("header", True).option("maxRecordsPerFile", CSV_ROWS)
+            rows.option("compression", "gzip").csv(f"{path}/{name}.csv")
 
     return _once(spark, folder, "source_files", write)
 

@@ -228,3 +228,15 @@ def test_a_customer_with_very_many_orders_is_split(spark, staged, tmp_path):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     customers = [line for line in plan.splitlines() if "SortMergeJoin" in line and "customer_id" in line]
     assert customers and all("skew=true" in line for line in customers)
+
+
+def test_written_source_files_are_packed(spark, sf_dir):
+    """The seven sources that are written to be staged are packed, and whole when they are read."""
+    import __spark_entry__ as registered
+
+    paths = staging.required_files(spark, registered._csv_folder(spark, sf_dir))
+    files = [r.file for r in staging.source_files(spark, paths).collect() if ".csv/part-" in r.file]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    staged = staging.read_staging(spark, paths)
+    for name, df in adapter.staging_from_star_schema(spark, sf_dir).items():
+        assert staged[name].count() == df.count()
