@@ -206,3 +206,31 @@ def test_a_forgotten_encoder_gives_the_same_ids_again():
     again, ends = second.encode(data, offsets)
     assert second is not first
     assert ids.tolist() == again.tolist() and before.tolist() == ends.tolist()
+
+
+def test_new_pieces_are_normalised_together():
+    """Few calls of the normaliser, and the same ids as the library's, also with NULs and marks."""
+    texts = [f"Word{i} \u0301mark{i}\tE\u0301{i} \0 \x1cx\0\u0301y{i}" for i in range(200)] + ["\u0301a", "\0", "\0\0 b"]
+    coder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    library, calls = coder.tokenizer, []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        @property
+        def normalizer(self):
+            class Stage:
+                def normalize_str(self, text):
+                    calls.append(text)
+                    return library.normalizer.normalize_str(text)
+
+            return Stage()
+
+    coder.tokenizer = Counted()
+    plain = [f"plain{i} words{i}" for i in range(400)]
+    coder.encode(*textbytes.flat(pa.array(plain)))
+    assert len(calls) <= 800 / tokens.TOGETHER + 1
+    ids, before = coder.encode(*textbytes.flat(pa.array(texts)))
+    for i, text in enumerate(texts):
+        assert ids[before[i] : before[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
