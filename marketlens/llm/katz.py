@@ -32,7 +32,8 @@ MIN_PAIR = 1
 #: Counts up to this are discounted.
 K = 5
 CHUNK_WORDS = 500_000
-SLICE_BYTES = 4 << 20
+#: Bytes of text hashed at a time, which takes about 50 bytes of memory for each.
+SLICE_BYTES = 1 << 20
 #: Bytes of text per range of n-grams, and per range of contexts.
 RANGE_BYTES = 12 << 20
 CONTEXT_BYTES = 24 << 20
@@ -139,8 +140,19 @@ def _batch(schema, rows):
     return pa.RecordBatch.from_pylist(rows, schema)
 
 
+def _lean(function):
+    """The function, in a worker that keeps little from the task before and for the next one."""
+
+    def lean(batches):
+        textbytes.give_back()
+        yield from function(batches)
+        textbytes.give_back()
+
+    return lean
+
+
 def _mapped(df, function, schema):
-    return df.mapInArrow(function, from_arrow_schema(schema))
+    return df.mapInArrow(_lean(function), schema if isinstance(schema, str) else from_arrow_schema(schema))
 
 
 def _count(n_ranges):
@@ -477,5 +489,5 @@ def scores(docs, train, id_col="doc_id", text_col="text", reread=False):
     contexts = moved.repartition(n_contexts, "range").sortWithinPartitions("range")
     weighed = _mapped(contexts, _weigh, _MOVED)
     back = weighed.select("chunk", "kind", "range", "a", "ids").repartition("chunk")
-    scored = back.sortWithinPartitions("chunk", "kind", "range").mapInArrow(_finish, _SCORED)
+    scored = _mapped(back.sortWithinPartitions("chunk", "kind", "range"), _finish, _SCORED)
     return scored.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))

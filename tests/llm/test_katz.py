@@ -1,11 +1,14 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from marketlens.llm import katz
+from marketlens.llm import katz, textbytes
 from marketlens.llm.katz import discounts, packed, planes, from_planes, range_bounds, scores, unpacked
 from pyspark.sql import functions as F
 
@@ -139,3 +142,30 @@ def test_pairs_met_once_keep_their_own_probability(spark):
         math.log10(d[1] / (contexts[h] + 1)) for h, w in zip(chain, chain[1:], strict=False)
     )
     assert found[4].score == pytest.approx(score, abs=1e-9)
+
+
+def test_a_chunk_takes_little_memory_beside_its_texts(monkeypatch):
+    rng = random.Random(6)
+    vocabulary = words(rng, 2000).split()
+    texts = [" ".join(rng.choices(vocabulary, k=1000)) for _ in range(2500)]
+    size = sum(map(len, texts))
+    assert size > 2 * (4 << 20)
+    batch = pa.record_batch([range(2500), [True] * 2500, texts], ["doc_id", "train", "text"])
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    ones = np.ones(1, np.uint64)
+    monkeypatch.setattr(textbytes, "_powers", [ones, ones])
+    tracemalloc.start()
+    try:
+        found = sum(len(chunk.token) for chunk in katz.chunks(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == 2500 * 1001
+    assert peak < 100 << 20
+
+
+def test_a_worker_gives_memory_back_around_a_task(monkeypatch):
+    seen = []
+    monkeypatch.setattr(textbytes, "give_back", lambda: seen.append("given back"))
+    assert [seen.append(x) or x for x in katz._lean(lambda batches: (2 * b for b in batches))([1, 2])] == [2, 4]
+    assert seen == ["given back", 2, 4, "given back"]
