@@ -19,6 +19,8 @@ CHARS = 12
 PART = 4
 #: Parts of a k-mer of characters.
 PARTS = CHARS - PART + 1
+#: Digits of an anchor in `as_text`.
+DIGITS = 8
 _AFTER_END = 2**63 - 1
 
 
@@ -90,10 +92,13 @@ def likeness(a, b):
 
 def as_text(hashes):
     """Anchors in text order as 8 hexadecimal digits each."""
-    return F.array_join(
-        F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(F.shiftrightunsigned(h, 32)), 8, "0"))),
-        "",
-    )
+    digits = F.transform(hashes, lambda h: F.lpad(F.hex(F.shiftrightunsigned(h, 32)), DIGITS, "0"))
+    return F.lower(F.array_join(digits, ""))
+
+
+def _up_to(places, last):
+    """How many of the sorted places are at most `last`."""
+    return F.size(F.filter(places, lambda place: place <= last))
 
 
 def _range_of(doc_id, points):
@@ -141,52 +146,91 @@ def edit_fingerprints(docs, id_col="doc_id", text_col="text"):
     everywhere = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follower = F.coalesce(F.lead("text").over(around), F.first("text").over(everywhere))
     after_range = texts.select("range", follower.alias("after"))
-    after_range = with_char_fingerprint(after_range, "after", "after_anchors").select(
-        "range", "after", F.col("after_anchors.hash").alias("after_hashes")
+    after_range = (
+        with_char_fingerprint(after_range, "after", "after_anchors")
+        .select(
+            "range",
+            "after",
+            F.col("after_anchors.place").alias("after_places"),
+            F.col("after_anchors.hash").alias("after_hashes"),
+        )
+        .withColumn("after_fingerprint", as_text(F.col("after_hashes")))
     )
     n_chars = F.char_length("text").cast("long")
     whole = (
         with_char_fingerprint(named.repartition("range"), "text", "anchors")
         .withColumn("n_chars", n_chars)
         .withColumn("n_left", F.expr("n_chars - n_chars div 4"))
-        # Anchors that lie in what the edit leaves are those of the edited text as well.
-        .withColumn(
-            "n_same",
-            F.size(F.filter("anchors.place", lambda place: place <= F.col("n_left") - (CHARS - 1))),
-        )
-        .select("doc_id", "h", "range", "text", "n_chars", "n_left", "n_same",
-                F.col("anchors.hash").alias("hashes"))
+        .select("doc_id", "h", "range", "text", "n_chars", "n_left",
+                F.col("anchors.place").alias("places"), F.col("anchors.hash").alias("hashes"))
+        .withColumn("fingerprint", as_text(F.col("hashes")))
     )
     within = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_last(), "h")
-    followed = (
-        whole.withColumn("next_text", F.lead("text").over(within))
-        .withColumn("next_hashes", F.lead("hashes").over(within))
-        .join(after_range, "range", "left")
-        .withColumn("next_text", F.coalesce("next_text", "after"))
-        .withColumn("next_hashes", F.coalesce("next_hashes", "after_hashes"))
+    of_next = {"text": "after", "places": "after_places", "hashes": "after_hashes", "fingerprint": "after_fingerprint"}
+    followed = whole
+    for name in of_next:
+        followed = followed.withColumn(f"next_{name}", F.lead(name).over(within))
+    followed = followed.join(after_range, "range", "left")
+    for name, after in of_next.items():
+        followed = followed.withColumn(f"next_{name}", F.coalesce(f"next_{name}", after))
+    # Anchors that lie in what the edit leaves, or in what it puts in, are those of the edited text
+    # as well. Others begin up to CHARS - 1 characters before what is put in, or before the end; if
+    # little is put in, both are one piece.
+    reach = CHARS - 1
+    edited = (
+        followed.withColumn("put_in", F.expr("substring(next_text, 1, cast(n_chars div 4 as int))"))
+        .withColumn("n_in", F.char_length("put_in"))
+        .withColumn("left", F.expr("substring(text, 1, cast(n_left as int))"))
+        .withColumn("before_seam", F.expr(f"right(left, {reach})"))
+        .withColumn("is_long", F.col("n_in") >= reach)
+        .select(
+            "doc_id",
+            "n_chars",
+            "hashes",
+            "fingerprint",
+            "next_hashes",
+            "next_fingerprint",
+            _up_to("places", F.col("n_left") - reach).alias("n_same"),
+            _up_to("next_places", F.col("n_in") - reach).alias("n_next"),
+            F.sha2(F.concat("left", "put_in").cast("binary"), 256).alias("edited_sha256"),
+            F.concat("before_seam", F.substring("put_in", 1, reach)).alias("seam"),
+            F.when(F.col("is_long"), F.char_length("before_seam")).alias("n_seam"),
+            F.when(F.col("is_long"), F.expr(f"right(put_in, {reach})")).otherwise("").alias("end"),
+        )
     )
-    edited = followed.select(
-        "doc_id",
-        "n_chars",
-        "hashes",
-        "next_hashes",
-        "n_left",
-        "n_same",
-        F.expr(
-            "concat(substring(text, 1, cast(n_left as int)), "
-            "substring(next_text, 1, cast(n_chars div 4 as int)))"
-        ).alias("edited"),
-    ).withColumn("tail", F.expr(f"substring(edited, cast(greatest(1, n_left - {CHARS - 2}) as int))"))
-    both = with_char_fingerprint(edited, "tail", "tail_anchors").withColumn(
-        "edited_hashes",
-        F.concat(F.slice("hashes", F.lit(1), F.col("n_same")), F.col("tail_anchors.hash")),
+    both = with_char_fingerprint(edited, "seam", "seam_anchors")
+    both = with_char_fingerprint(both, "end", "end_anchors")
+    of_seam = F.filter(
+        "seam_anchors", lambda a: F.col("n_seam").isNull() | (a["place"] <= F.col("n_seam"))
+    )
+    both = (
+        both.withColumn("seam_hashes", of_seam["hash"])
+        .withColumn("end_hashes", F.col("end_anchors.hash"))
+        .withColumn(
+            "edited_hashes",
+            F.concat(
+                F.slice("hashes", F.lit(1), F.col("n_same")),
+                F.col("seam_hashes"),
+                F.slice("next_hashes", F.lit(1), F.col("n_next")),
+                F.col("end_hashes"),
+            ),
+        )
+        .withColumn(
+            "edited_fingerprint",
+            F.concat(
+                F.expr(f"substring(fingerprint, 1, {DIGITS} * n_same)"),
+                as_text(F.col("seam_hashes")),
+                F.expr(f"substring(next_fingerprint, 1, {DIGITS} * n_next)"),
+                as_text(F.col("end_hashes")),
+            ),
+        )
     )
     return both.select(
         "doc_id",
         "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("hashes")).alias("fingerprint"),
-        as_text(F.col("edited_hashes")).alias("edited_fingerprint"),
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
         likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
         likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
     )

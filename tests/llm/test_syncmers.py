@@ -90,3 +90,31 @@ def test_short_texts_and_unbroken_runs_share_anchors(spark):
     whole = with_char_fingerprint(frame(spark, edited), "text", "anchors")
     for r in whole.select("doc_id", as_text(F.col("anchors.hash")).alias("f")).collect():
         assert found[r.doc_id].edited_fingerprint == r.f
+
+
+def test_edited_texts_are_not_read_through_again(spark, monkeypatch):
+    """Two texts of a few characters, not a quarter of each, are all that is looked through again."""
+    looked_at = []
+    found = with_char_fingerprint
+
+    def noted(df, text_col, to):
+        looked_at.append((text_col, df))
+        return found(df, text_col, to)
+
+    monkeypatch.setattr("marketlens.llm.syncmers.with_char_fingerprint", noted)
+    rng = random.Random(11)
+    # Of every length, so that what is put in is of every length up to 40, and often ends early.
+    texts = {i: words(rng, 60)[: rng.choice([i, 160, 7])] for i in range(160)}
+    texts[50] = "日本語👩 " * 30
+    rows = {r.doc_id: r for r in edit_fingerprints(frame(spark, list(texts.items()))).collect()}
+    of_edited = [df.agg(F.max(F.char_length(c))).first()[0] for c, df in looked_at if c not in ("text", "after")]
+    assert of_edited and max(of_edited) <= 22
+    edited = [
+        (i, t[: len(t) - len(t) // 4] + texts[(i + 1) % 160][: len(t) // 4]) for i, t in texts.items()
+    ]
+    whole = found(frame(spark, edited), "text", "anchors").select("doc_id", F.col("anchors.hash").alias("hashes"))
+    own = found(frame(spark, list(texts.items())), "text", "anchors")
+    own = own.select("doc_id", F.col("anchors.hash").alias("own"))
+    for r in whole.join(own, "doc_id").select("doc_id", as_text("hashes").alias("f"), likeness("own", "hashes").alias("l")).collect():
+        assert (rows[r.doc_id].edited_fingerprint, rows[r.doc_id].near_edited) == (r.f, r.l)
+        assert rows[r.doc_id].edited_sha256 == sha(dict(edited)[r.doc_id])
