@@ -10,8 +10,6 @@ anchors too.
 characters, with k-mers of K tokens.
 """
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -50,30 +48,21 @@ def syncmers(padded, k=K):
     """
     n_tokens = F.size(padded) - (k - 1)
 
-    def token(i, j):
+    def kmer(i):
         # Item by item: cutting out a slice would copy the whole array each time.
-        return F.get(padded, i + j)
-
-    def is_least(one, others):
-        # The first comparison that fails is mostly an early one, and the last that is made.
-        tests = [one <= other for other in others]
-        return reduce(lambda rest, test: test & rest, reversed(tests[:-1]), tests[-1])
-
-    def closed(first, i):
-        inner = [token(i, j) for j in range(1, k - 1)]
-        # The array of one item has the last token got once, not for every comparison.
-        last = F.transform(F.array(token(i, k - 1)), lambda last: is_least(last, inner[::-1]))
-        return is_least(first, inner) | F.get(last, 0)
-
-    # The places' numbers here are from 0.
-    places = F.transform(
-        F.slice(padded, F.lit(1), n_tokens), lambda first, i: F.when(closed(first, i), i + 1)
+        return [F.get(padded, i + (j - 1)) for j in range(k)]
+
+    def closed(i):
+        tokens = kmer(i)
+        inner = F.least(*tokens[1:-1]) if k > 3 else tokens[1]
+        return F.least(tokens[0], tokens[-1]) <= inner
+
+    places = F.when(n_tokens > 0, F.sequence(F.lit(1), n_tokens)).otherwise(
+        F.array().cast("array<int>")
     )
     return F.transform(
-        F.array_compact(places),
-        lambda i: F.struct(
-            i.alias("place"), F.xxhash64(*[token(i, j - 1) for j in range(k)]).alias("hash")
-        ),
+        F.filter(places, closed),
+        lambda i: F.struct(i.alias("place"), F.xxhash64(*kmer(i)).alias("hash")),
     )
 
 
