@@ -4,7 +4,7 @@ A k-mer is CHARS characters in a row; it is chosen if the smallest hash of its p
 characters from each of its places on, is that of its first or its last part. That depends on the
 k-mer alone and not on what surrounds it, so a passage gives the same anchors in any text. Past
 its end a text goes on with parts that are larger than all others, so that short texts have
-anchors too.
+anchors too. The hash of a k-mer is that of the parts PART apart, which hold all its characters.
 
 `with_fingerprint` does the same for tokens, stretches without white space that are cut after 16
 characters, with k-mers of K tokens.
@@ -21,6 +21,8 @@ PART = 4
 PARTS = CHARS - PART + 1
 #: Digits of an anchor in `as_text`.
 DIGITS = 8
+#: Bytes of text in a range of documents, about.
+RANGE_BYTES = 16 << 20
 _AFTER_END = 2**63 - 1
 
 
@@ -41,10 +43,11 @@ def part_hashes(text):
     return F.concat(hashes, F.array_repeat(F.lit(_AFTER_END).cast("long"), PARTS - 1))
 
 
-def syncmers(padded, k=K):
+def syncmers(padded, k=K, step=1):
     """From `token_hashes`, the anchors: structs of the place of the k-mer, from 1, and its hash.
 
     `padded` has to be a column that is there: an expression would be computed for every token.
+    The hash is that of every `step`-th token of the k-mer.
     """
     n_tokens = F.size(padded) - (k - 1)
 
@@ -62,7 +65,7 @@ def syncmers(padded, k=K):
     )
     return F.transform(
         F.filter(places, closed),
-        lambda i: F.struct(i.alias("place"), F.xxhash64(*kmer(i)).alias("hash")),
+        lambda i: F.struct(i.alias("place"), F.xxhash64(*kmer(i)[::step]).alias("hash")),
     )
 
 
@@ -73,21 +76,53 @@ def with_fingerprint(df, text_col, to):
 
 def with_char_fingerprint(df, text_col, to):
     """As `with_fingerprint`, of characters; places are those of characters, from 1."""
-    return _with_anchors(df, part_hashes(F.col(text_col)), PARTS, to)
+    return _with_anchors(df, part_hashes(F.col(text_col)), PARTS, to, PART)
 
 
-def _with_anchors(df, padded, k, to):
+def _with_anchors(df, padded, k, to, step=1):
     hashes = f"{to}_hashes"
     while hashes in df.columns:
         hashes += "_"
-    return df.withColumn(hashes, padded).withColumn(to, syncmers(F.col(hashes), k)).drop(hashes)
+    return df.withColumn(hashes, padded).withColumn(to, syncmers(F.col(hashes), k, step)).drop(hashes)
+
+
+def long_fingerprints(df, within):
+    """Anchors as `with_char_fingerprint` finds them in `text`, as `anchors`, for texts of any length.
+
+    A row per character, from which the k-mers are looked at, is what Spark compiles; functions of
+    array items are interpreted one by one. Nothing is shuffled if `df` is dealt by the column `within`.
+    """
+    own = [c for c in df.columns if c != within]
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    padded = numbered.withColumn("_padded", part_hashes(F.col("text")))
+    # Never an empty array; without the outer form Spark would look for those, and hash twice.
+    parts = padded.select("*", F.posexplode_outer("_padded").alias("_at", "_first"))
+    at = F.col("_at")
+    kmer = [F.col("_first"), *[F.get("_padded", at + j) for j in range(1, PARTS)]]
+    closed = (at < F.size("_padded") - (PARTS - 1)) & (
+        F.least(kmer[0], kmer[-1]) <= F.least(*kmer[1:-1])
+    )
+    anchor = F.struct((at + 1).alias("place"), F.xxhash64(*kmer[::PART]).alias("hash"))
+    found = parts.filter(closed | (at == 0)).select(
+        within,
+        "_row",
+        F.when(at == 0, F.struct(*own)).alias("_own"),
+        F.when(closed, anchor).alias("_anchor"),
+    )
+    # The rows of a text may come in any order from the aggregate.
+    together = found.groupBy(within, "_row").agg(
+        F.first("_own", ignorenulls=True).alias("_own"),
+        F.sort_array(F.collect_list("_anchor")).alias("anchors"),
+    )
+    return together.select(within, "_own.*", "anchors")
 
 
 def likeness(a, b):
     """Shared hashes among all hashes of two anchor arrays, 0 to 1; 1 for two empty arrays."""
     both = F.size(F.array_intersect(a, b))
     either = F.size(F.array_union(a, b))
-    return F.when(either == 0, 1.0).otherwise(both / either)
+    # Named once: in a condition and a branch the union would be made twice.
+    return F.coalesce(F.try_divide(both, either), F.lit(1.0))
 
 
 def as_text(hashes):
@@ -116,14 +151,16 @@ def edit_fingerprints(docs, id_col="doc_id", text_col="text"):
     the text, and a repeated row follows itself. Other columns are ignored.
 
     Documents are dealt to ranges of ids, whose bounds are approximate quantiles, and follow each
-    other within a range; what follows the last of a range is the first of a later one.
+    other within a range; what follows the last of a range is the first of a later one. The number
+    of ranges grows with the texts, so that a task sorts as much of a large table as of a small one.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    n_ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // RANGE_BYTES)
     shares = F.array(*[F.lit(i / n_ranges) for i in range(1, n_ranges)])
     points = rows.agg(F.percentile_approx("doc_id", shares, 100 * n_ranges)).first()[0]
     points = sorted(set(points or []))
@@ -158,7 +195,7 @@ def edit_fingerprints(docs, id_col="doc_id", text_col="text"):
     )
     n_chars = F.char_length("text").cast("long")
     whole = (
-        with_char_fingerprint(named.repartition("range"), "text", "anchors")
+        long_fingerprints(named.repartition(n_ranges, "range"), "range")
         .withColumn("n_chars", n_chars)
         .withColumn("n_left", F.expr("n_chars - n_chars div 4"))
         .select("doc_id", "h", "range", "text", "n_chars", "n_left",

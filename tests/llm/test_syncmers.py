@@ -1,7 +1,14 @@
 import random
 
 import pytest
-from marketlens.llm.syncmers import as_text, edit_fingerprints, likeness, with_char_fingerprint, with_fingerprint
+from marketlens.llm.syncmers import (
+    as_text,
+    edit_fingerprints,
+    likeness,
+    long_fingerprints,
+    with_char_fingerprint,
+    with_fingerprint,
+)
 from pyspark.sql import functions as F
 
 from tests.llm.tools import corpus, frame, sha, words
@@ -118,3 +125,38 @@ def test_edited_texts_are_not_read_through_again(spark, monkeypatch):
     for r in whole.join(own, "doc_id").select("doc_id", as_text("hashes").alias("f"), likeness("own", "hashes").alias("l")).collect():
         assert (rows[r.doc_id].edited_fingerprint, rows[r.doc_id].near_edited) == (r.f, r.l)
         assert rows[r.doc_id].edited_sha256 == sha(dict(edited)[r.doc_id])
+
+
+def test_anchors_of_rows_per_character(spark):
+    """Texts are looked through in rows that Spark compiles, without a shuffle; the anchors are those by definition."""
+    rng = random.Random(12)
+    texts = ["", "a", "日本語👩 " * 9, "x" * 40, "\n".join("ab" * i for i in range(9)), words(rng, 300), "x" * 40]
+    # More texts of a group than the aggregate keeps before it sorts.
+    texts += [words(rng, 5)[: i % 31] for i in range(400)]
+    rows = [(i, t, i % 2) for i, t in enumerate(texts)]
+    df = frame(spark, rows, "doc_id long, text string, range int").repartition(2, "range")
+    found = long_fingerprints(df, "range")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "posexplode" in plan
+    of_rows = {r.doc_id: r for r in found.collect()}
+    assert len(of_rows) == len(rows)
+    of_arrays = {r.doc_id: r for r in with_char_fingerprint(df, "text", "anchors").collect()}
+    for i, text, group in rows:
+        assert (of_rows[i].text, of_rows[i].range) == (text, group)
+        assert of_rows[i].anchors == of_arrays[i].anchors
+    parts = {t[j : j + 4] for t in texts for j in range(len(t))}
+    hashed = frame(spark, list(enumerate(parts))).select("text", F.xxhash64("text").alias("h")).collect()
+    hashes = {r.text: r.h for r in hashed}
+    for i, text, _ in rows:
+        of_text = [text[j : j + 4] for j in range(len(text))]
+        assert [a.place for a in of_rows[i].anchors] == closed_syncmers(of_text, hashes, 9)
+
+
+def test_ranges_follow_the_size_of_the_texts(spark, monkeypatch):
+    rows = corpus(80)
+    wide = sorted(edit_fingerprints(frame(spark, rows)).collect())
+    monkeypatch.setattr("marketlens.llm.syncmers.RANGE_BYTES", sum(len((t or "").encode()) for _, t in rows) // 40)
+    narrow = edit_fingerprints(frame(spark, rows))
+    assert "REPARTITION_BY_NUM" in narrow._jdf.queryExecution().executedPlan().toString()
+    assert narrow.rdd.getNumPartitions() >= 40 > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(narrow.collect()) == wide
