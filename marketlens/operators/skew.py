@@ -7,6 +7,8 @@ from marketlens.session import stored
 SALT = "_salt"
 #: A key is hot if it alone holds more than this share of what a task gets on average.
 SHARE_OF_TASK = 0.5
+#: A list of more hot keys is not broadcast: with `rows_per_salt` given, it grows with the table.
+BROADCAST_KEYS = 100_000
 
 
 def hot_keys(df, key, rows_per_salt=None):
@@ -27,9 +29,14 @@ def hot_keys(df, key, rows_per_salt=None):
     return stored(hot, "hot_keys")
 
 
+def listed(hot):
+    """A stored list of hot keys, to be broadcast if it is short; else its size decides, as of any table."""
+    return F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
+
+
 def _marked(df, hot, key):
     # Keys with more than n rows are fewer than rows / n: by default a few per task.
-    return df.join(F.broadcast(hot), key, "left")
+    return df.join(listed(hot), key, "left")
 
 
 def salt_rows(df, hot, key):

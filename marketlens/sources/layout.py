@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from marketlens.operators import model
-from marketlens.operators.skew import SALT, hot_keys, salt_rows
+from marketlens.operators.skew import SALT, hot_keys, listed, salt_rows
 from marketlens.schema import ORDER_ITEMS
 
 KEY = "order_id"
@@ -64,7 +64,7 @@ def store_by_order(staging, folder, buckets=None, rows_per_salt=None):
     sold = model.item_side(
         salt_rows(items, hot, KEY), staging["products"], staging["category_translation"]
     )
-    is_hot = F.broadcast(hot.select(KEY))
+    is_hot = listed(hot).select(KEY)
     sold.join(is_hot, KEY, "left_semi").write.mode("overwrite").parquet(f"{folder}/hot_order_items")
     hot.write.mode("overwrite").parquet(f"{folder}/hot_orders")
     plain = {
@@ -122,7 +122,7 @@ def build_from_layout(spark, folder):
     if not n_hot:
         return table
     hot = by_order["hot_orders"]
-    # As many hot orders as tasks, twice, at most: few rows go to the salts.
-    their_orders = orders.join(F.broadcast(hot.select(KEY)), KEY, "left_semi")
+    # By default as many hot orders as tasks, twice, at most: few rows go to the salts.
+    their_orders = orders.join(listed(hot).select(KEY), KEY, "left_semi")
     salted = model.salted_join(by_order["hot_order_items"], their_orders, hot)
     return table.unionByName(salted.select(*ORDER_ITEMS.fieldNames()))

@@ -97,3 +97,19 @@ def test_empty_tables(spark, tmp_path):
     empty = {name: spark.createDataFrame([], schema) for name, schema in SOURCES.items()}
     layout.store_by_order(empty, str(tmp_path), buckets=2)
     assert layout.build_from_layout(spark, str(tmp_path)).isEmpty()
+
+
+def test_a_long_list_of_hot_orders_is_not_broadcast(spark, staged, tmp_path, without_broadcasts, monkeypatch):
+    from marketlens.operators import skew
+
+    short = str(tmp_path / "short")
+    layout.store_by_order(staged, short, buckets=3, rows_per_salt=1)
+    table = layout.build_from_layout(spark, short)
+    assert "BroadcastExchange" in plan_of(table)
+    expected = sorted(map(str, table.collect()))
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 0)
+    long = str(tmp_path / "long")
+    layout.store_by_order(staged, long, buckets=3, rows_per_salt=1)
+    table = layout.build_from_layout(spark, long)
+    assert "BroadcastExchange" not in plan_of(table)
+    assert sorted(map(str, table.collect())) == expected and expected
