@@ -525,8 +525,11 @@ def _displayed(spark, folder):
 
 
 def _cited(spark, folder):
-    answers = _answers(spark, folder).filter("supported")
-    explained = answers.join(_explained_orders(spark, folder), "question_id")
+    # What is to be explained meets its text before the evidence, which is much wider, is attached.
+    ordered = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_totalprice")
+    asked = _questions(spark, folder).join(ordered, F.col("question_id") == F.col("o_orderkey"))
+    answers = evidence.answer_from(evidence_inputs(spark, folder), asked).filter("supported")
+    explained = answers.withColumn("explanation", adapter.explanation_from_order())
     return explain.citations(explained).select(
         "question_id", "analysis_type", "position", "kind", "target", "is_known"
     )
