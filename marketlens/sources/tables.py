@@ -8,6 +8,7 @@ from marketlens.operators import quality
 from marketlens.operators.model import build_order_items
 from marketlens.operators.reduce import orders_of
 from marketlens.schema import ORDER_ITEMS
+from marketlens.session import lean_writes
 from marketlens.sources.staging import read_staging, required_files
 
 
@@ -29,7 +30,9 @@ def store_order_items(staging, path):
 
 
 def _write_by_month(rows, path):
-    rows.write.mode("overwrite").partitionBy(MONTH).option("compression", "zstd").parquet(path)
+    months = rows.write.mode("overwrite").partitionBy(MONTH).option("compression", "zstd")
+    with lean_writes(rows.sparkSession):
+        months.parquet(path)
 
 
 def write_validated(df, path):
@@ -46,7 +49,8 @@ def write_validated(df, path):
 
 def write_orders(items, path):
     """Replace the order-grain table at `path` with that of an order-item table."""
-    orders_of(items).write.mode("overwrite").parquet(path)
+    with lean_writes(items.sparkSession):
+        orders_of(items).write.mode("overwrite").parquet(path)
 
 
 def read_order_items(spark, path):

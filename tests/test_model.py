@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 
 import pytest
@@ -122,6 +123,27 @@ def test_no_shuffle_carries_what_other_columns_give(spark, staged, built):
     assert dealt.exceptAll(built).count() == built.exceptAll(dealt).count() == 0
 
 
+def test_orders_are_dealt_by_their_id_once(spark, staged, built):
+    """Orders, payments, reviews and items: none of the four is dealt by order_id again."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = model.build_order_items(staged)
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(order_id") == 4
+        assert table.exceptAll(built).count() == built.exceptAll(table).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_what_items_of_an_order_share_comes_first_in_the_shuffle(spark, staged):
+    dealt = model.build_order_items(staged, dealt_by="purchase_month_start")
+    rows = dealt._jdf.queryExecution().optimizedPlan().children().apply(0)
+    names = re.sub(r"#\d+L?", "", rows.output().mkString(" ")).split()
+    own = {"freight", "order_item_id", "price", "seller_id", "product_id", "product_category"}
+    assert set(names[-6:]) == own and names[0] == "purchase_month_start"
+
+
 def test_every_hot_order_is_split(spark, staged):
     """120 orders of 100 items each: all are found, spread and joined, none is left whole."""
     items = staged["order_items"].filter("order_item_id IS NOT NULL").limit(50)
