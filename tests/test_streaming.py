@@ -1,5 +1,7 @@
+import glob
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -38,6 +40,25 @@ def test_stream_with_restarts_equals_the_batch(spark, resolved):
     assert found.filter("was_late").isEmpty()
 
 
+def test_a_stream_is_packed_and_goes_on_from_a_state_that_was_packed_otherwise(spark):
+    conversations.use_state_store(spark)
+    assert spark.conf.get(conversations.STATE_PACKING) == "zstd"
+    chance = random.Random(6)
+    turns = [(conv, turn, chance.choice(TEXTS)) for turn in range(24) for conv in range(4)]
+    base = new_table_path(spark, "packed-stream-test")
+    for packing, rows in (("lz4", turns[:50]), ("zstd", turns[50:])):
+        spark.conf.set(conversations.STATE_PACKING, packing)
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(SCHEMA).parquet(f"{base}/in")
+        conversations.run_available(arriving, f"{base}/out", f"{base}/state", MONTHS)
+    files = glob.glob(f"{base.removeprefix('file://')}/out/*.parquet")
+    groups = [pq.read_metadata(f).row_group(0) for f in files if pq.read_metadata(f).num_row_groups]
+    assert {group.column(2).compression for group in groups} == {"ZSTD"}
+    found = spark.read.schema(conversations.RESOLVED).parquet(f"{base}/out")
+    batch = followups.resolve_conversations(spark.createDataFrame(turns, SCHEMA), MONTHS)
+    assert sorted(found.drop("was_late").collect()) == sorted(batch.drop("was_rewritten").collect())
+
+
 def test_a_late_turn_is_resolved_with_the_answer_before_it(resolved):
     first = [(1, 0, "Why did revenue drop in March 2024?"), (1, 10, "Show the KPI overview"), (1, 11, "aov")]
     found = resolved([first, [(1, 5, "What about states?"), (1, 12, "What about states?")]])
